@@ -81,21 +81,23 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
     return given.mapInArrow(run, out)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold: int, held_out: int, key: str = "doc_id") -> list[tuple[str, int]]:
-    """At most `rows` (text, label) pairs whose id is not in the held-out fold, the same ones at every run.
+def sample_keys(rows: DataFrame, label: str, most: int, fold: int, held_out: int, key: str = "doc_id") -> DataFrame:
+    """At most `most` (__key, __label) rows of non-null key and label outside the held-out fold: those of smallest id hash.
 
-    The bound is on label rows: those of smallest id hash are taken from the narrow label table first, then their
-    texts are fetched through a broadcast of that bounded list. Null labels and rows without a text row are passed over.
+    Two narrow passes: a count, then the rows under a hash threshold that leaves some more than `most`, so that
+    no task sorts more than about that many at any input size.
     """
-    picked = (
-        labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (split_mod(F.col(key), fold) != held_out))
-        .select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("__key"), "__key", "__label")
-        .limit(rows)
-    )
-    few = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    found = docs.select(F.col(key).alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("__text")).join(F.broadcast(few), "__key")
-    return [(r["__text"], r["__label"]) for r in sorted(found.collect(), key=lambda r: (r["__key"], r["__label"], r["__text"]))]
+    able = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (split_mod(F.col(key), fold) != held_out)).select(F.col(key).alias("__key"), F.col(label).alias("__label"))
+    n, buckets = able.count(), 1 << 30
+    share = min(buckets, int(buckets * (most + 6 * most**0.5) / max(n, 1)) + 1)
+    hashed = F.xxhash64("__key")
+    return able.where(F.pmod(hashed, F.lit(buckets)) < share).orderBy(hashed, "__key", "__label").limit(most)
+
+
+def sample_texts(docs: DataFrame, rows: DataFrame, label: str, most: int, fold: int, held_out: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """__key, __label, __text of at most `most` labelled documents. Null texts are empty; keys without a document are passed over."""
+    few = docs.sparkSession.createDataFrame((picked := sample_keys(rows, label, most, fold, held_out, key)).collect(), picked.schema)
+    return docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(few), "__key")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

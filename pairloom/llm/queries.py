@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm.common import shared_folder, table
+from pairloom.llm.common import shared_folder, split_mod, table
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -21,5 +22,29 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_output,)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", (split_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learn(docs), ["doc_id"])
+    return found.select("doc_id", (split_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", (split_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op4_token_output, op6_toxicity, op7_language_id, op10_quality)}
 SQL: dict[str, str] = {}
