@@ -46,5 +46,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_output, op6_toxicity, op7_language_id, op10_quality)}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.ngram_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_token_output, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
 SQL: dict[str, str] = {}
