@@ -14,6 +14,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.token_output import token_index, write_token_files
 
@@ -52,5 +64,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_output, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op4_token_output, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
 SQL: dict[str, str] = {}

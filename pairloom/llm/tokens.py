@@ -82,7 +82,8 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         return found
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all distinct chunks, their sizes, which chunks the texts consist of, and where each text's begin."""
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, RUN).to_numpy(zero_copy_only=False) | (not self.bytewise)
         odd |= np.array([not o and not t.isascii() and bool(re.search(RUN, t)) for t, o in zip(texts, odd, strict=True)], bool)
@@ -91,23 +92,27 @@ class PieceEncoder:
         lists = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
         starts = lists.offsets.to_numpy()
         codes = lists.values.dictionary_encode()
-        index = codes.indices.to_numpy().astype(np.int64)
+        index = codes.indices.to_numpy().copy()
         found = self._spaced(codes.dictionary.to_pylist())
         # a text's first chunk has no space in front; a text that isn't cut is encoded whole: both get codes of their own
         n = len(found)
         found += [self._whole(t) if o else self._made(c) if (c := t.split(" ", 1)[0]) else b"" for t, o in zip(texts, odd, strict=True)]
         index[starts[:-1]] = n + np.arange(len(texts))
+        return found, np.fromiter(map(len, found), np.int32, len(found)) // np.int32(4), index, starts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found, sizes, index, starts = self._cut(texts)
         flat = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(sizes) - sizes
+        begin = np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes[index]
-        ends = np.cumsum(each)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[index] - ends + each, each)
-        offsets = np.concatenate([[0], ends])[starts]
-        return flat[at], offsets
+        ends = np.cumsum(each, dtype=np.int32)  # a call's texts are far shorter than 2 ** 31
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(begin[index] - ends + each, each)
+        return flat[at], np.concatenate([[0], ends])[starts].astype(np.int64)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
-        return np.diff(self.encode(texts)[1])
+        """How many ids each text has."""
+        _, sizes, index, starts = self._cut(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[index], dtype=np.int64)])[starts])
 
 
 @functools.lru_cache(maxsize=4)
