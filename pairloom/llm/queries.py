@@ -34,6 +34,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm import toxicity
 
@@ -64,5 +70,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op4_token_output, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op4_token_output, op5_ann, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
 SQL: dict[str, str] = {}
