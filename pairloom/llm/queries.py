@@ -26,6 +26,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.html_extract import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.token_output import token_index, write_token_files
 
@@ -70,5 +76,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op4_token_output, op5_ann, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_html_extraction, op4_token_output, op5_ann, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
 SQL: dict[str, str] = {}
