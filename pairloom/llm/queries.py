@@ -70,11 +70,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("places")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.ngram_join import jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_html_extraction, op4_token_output, op5_ann, op9_ngram_join, op6_toxicity, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_html_extraction, op4_token_output, op5_ann, op9_ngram_join, op6_toxicity, op7_language_id, op8_license_scan, op10_quality)}
 SQL: dict[str, str] = {}

@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from pairloom.llm.tokens import encoder
 
 FILE_SCHEMA = "doc_id long, ids array<int>, file int, before long"
 #: Characters encoded at once: large, since the distinct words of a larger piece are fewer beside its words.
-ENCODE_CHARS = 8_000_000
+ENCODE_CHARS = 12_000_000
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 2000, bloom_fpp: float = 0.01) -> None:

@@ -32,7 +32,7 @@ def byte_alphabet() -> dict[int, str]:
 class PieceEncoder:
     """encode(texts) gives all ids in one array and where each text's ids begin. Ids equal those of the library on whole texts."""
 
-    def __init__(self, path: str, special_as_text: bool = True, cached: int = 250_000):
+    def __init__(self, path: str, special_as_text: bool = True, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
