@@ -1,17 +1,46 @@
-"""The corpus pipeline: stages that each take documents and give what the next one reads."""
+"""The corpus pipeline: stages that each take documents and give what the next one reads.
+
+Every stage but the last gives the columns of documents. Stages: documents whose language isn't found go; documents of
+low quality go; of each class of near copies the document of smallest id stays; documents that hold a benchmark item go;
+what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pairloom.llm import decontaminate, language_id, ngram_join, packing, quality
+from pairloom.llm.common import shared_folder, table
+from pairloom.llm.queries import tokenizer_file
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs, language_id.learn(docs))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_file())
+
+
+STAGES = [("language", identified), ("quality", good), ("near_copies", distinct), ("decontamination", decontaminated), ("packing", packed)]
+#: Learnt models and MinHash can't be said in SQL: the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder, each written as Parquet in the shared folder and read again."""
-    from pairloom.llm.common import shared_folder, table
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

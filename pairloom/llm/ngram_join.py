@@ -235,8 +235,8 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         labels = labels.join(hooked.select(F.col("node").alias("root"), "low"), "root", "left").select("node", F.coalesce("low", "root").alias("root"))
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
-    """key, class_id (the smallest id of its class), n_links (other documents at the threshold or above), n_link_texts (other n-gram sets among them)."""
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = BLOCK, with_node: bool = False) -> DataFrame:
+    """key, class_id (the smallest id of its class), n_links (other documents at the threshold or above), n_link_texts (other n-gram sets among them); with_node adds node."""
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     path = shared_folder(spark, "signatures")
@@ -255,11 +255,31 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     known.write.parquet(path)
     known = spark.read.parquet(path)
     out = signed.select(key, F.when(F.col(key).isNotNull(), F.col("node")).alias("node")).join(known, "node", "left")
-    return out.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).cast("long").alias("n_link_texts"))
+    return out.select(key, *(["node"] if with_node else []), F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).cast("long").alias("n_link_texts"))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, all columns, but of each class only the row of the smallest id (of repeated rows under that id, one)."""
-    classes = jaccard_classes(docs, key, text, **how)
-    gone = classes.where(F.col("class_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """The documents, all columns, but of each class only the one of smallest id.
+
+    Rows under one id are told apart by their n-gram sets: of those of a class that share its smallest id, one stays.
+    """
+    classes = jaccard_classes(docs, key, text, with_node=True, **how)
+    path = shared_folder(docs.sparkSession, "classes")
+    classes.where(F.col(key).isNotNull() & F.col("node").isNotNull()).select(F.col(key).alias("__id"), F.col("node").alias("__node"), (F.col("class_id") != F.col(key)).alias("__out")).write.parquet(path)
+    decided = docs.sparkSession.read.parquet(path)
+    repeated = decided.groupBy("__id").count().where("count > 1").select("__id")
+    gone = decided.where("__out").select("__id")
+    if repeated.isEmpty():
+        return docs.join(gone, F.col(key) == F.col("__id"), "left_anti")
+    size, (bands, rows) = how.get("size", 5), bands_for(how.get("threshold", 0.8), how.get("recall", 0.9999))
+    single = docs.join(gone.unionByName(repeated), F.col(key) == F.col("__id"), "left_anti")
+
+    def nodes(texts):
+        s = sketcher(size, bands, rows)
+        return [[s.node(x) for x in s.sets(texts)]]
+
+    several = map_texts(docs.join(repeated, F.col(key) == F.col("__id"), "left_semi"), text, docs.columns, [T.StructField("__node", T.BinaryType())], nodes)
+    out = decided.where("__out").select(F.col("__id").alias(key), "__node").distinct()
+    wordless = several.where("__node is null")
+    kept = several.where("__node is not null").join(out, [key, "__node"], "left_anti").dropDuplicates([key, "__node"])
+    return single.unionByName(kept.unionByName(wordless).select(docs.columns))
