@@ -10,15 +10,16 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition."""
     return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings; null with a null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -40,7 +41,7 @@ def _strip(html: str) -> str:
     return "".join(parser.parts).replace("\n", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     """All text of a fragment, line ends as blanks."""
     return html.map(_strip, na_action="ignore")
@@ -61,7 +62,7 @@ def parse_price(text: str) -> float | None:
     return float(re.sub("[.,]", "", digits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def price_of_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: parse_price(t) if t else None, na_action="ignore").astype("float64")
 
@@ -148,6 +149,6 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: [stem(t) for t in ts], na_action="ignore")

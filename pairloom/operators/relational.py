@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_of_each(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row of each key: the first in the order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+def first_of_each(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
+    """One row of each key: the first (or last) in the order, of equal ones the smallest (largest) row.
+
+    An aggregate that combines before its shuffle, so a key of very many rows costs one row a task. Null keys are a key.
+    """
+    pick = F.max if last else F.min
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(pick(F.struct(order.alias("__order"), *(F.col(f"`{c}`") for c in rest))).alias("__row"))
+    return best.select(*(F.col(f"`{c}`") if c in keys else F.col("__row")[c].alias(c) for c in df.columns))
 
 
 def lookup_join(targets: DataFrame, sources: DataFrame, on: str, ordinal: Column) -> tuple[DataFrame, DataFrame]:
     """Targets with their source (of repeated ones the last), and the targets that have none."""
-    last = first_of_each(sources, [on], ordinal.desc())
+    last = first_of_each(sources, [on], ordinal, last=True)
     return targets.join(last, on), targets.join(sources.select(on).distinct(), on, "left_anti")
 
 

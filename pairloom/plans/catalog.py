@@ -1,12 +1,594 @@
-"""All queries on the record-matching side, with SQL that gives the same rows."""
+"""All queries on the record-matching side, with SQL that gives the same rows.
+
+Roles of the tables: products are parts, texts are documents and benchmark items, price facts are orders and line items,
+specifications come from the events' properties, vectors from embeddings.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.config import Config
+from pairloom.functions import cleansing, keywords, python_udfs, similarity, text
+from pairloom.functions.vocab import clean_vocabulary
+from pairloom.ml import classifiers
+from pairloom.operators import blocking, evaluation, features, relational, tfidf
+from pairloom.plans import matching
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+#: Fixed pattern of a token, as text.TOKEN has it.
+TOKENS = r"""list_transform(regexp_extract_all({0}, '([\p{{L}}\p{{N}}_]["#$%&''×.,]?[\p{{L}}\p{{N}}_]*)', 1), lambda x: lower(x))"""
+
+
+def tok(c: str) -> str:
+    return TOKENS.format(c)
+
+
+# Scans, projections, cleansing
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, array_to_string(list_filter([p_brand, p_type], lambda x: x <> ''), '|') AS code FROM part")
+def scan_project_attribute_map(spark, sf_dir):
+    mapped = cleansing.map_attributes(table(spark, sf_dir, "part"), {"id": "p_partkey", "name": "p_name", "price": "p_retailprice", "code": ["p_brand", "p_type"], "url": "missing"})
+    return mapped.withColumn("code", F.array_join("code", "|"))
+
+
+@query(f"SELECT doc_id, len({tok('text')})::INT AS n_tokens, md5(array_to_string({tok('text')}, ' ')) AS tokens FROM documents")
+def tokenize_lower(spark, sf_dir):
+    tokens = text.lower_tokens(text.tokenize(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
+_TWICE = "regexp_replace(regexp_replace({0}, '{1}', '{2}', 'g'), '{1}', '{2}', 'g')"
+
+
+def _cleaned(c: str) -> str:
+    for pattern, new in ((r"(\d) - (\d)", r"\1-\2"), (r"(\d),(\d)", r"\1\2")):
+        c = _TWICE.format(c, pattern, new)
+    c = rf"""regexp_replace({c}, '(\d)"', '\1 inch', 'g')"""
+    c = _TWICE.format(c, r"(\d)x(\d)", r"\1×\2")
+    for a, b in ((" × ", "×"), ("½", "1/2"), ("⅓", "1/3"), ("¼", "1/4"), ("⅕", "1/5"), ("(", ""), (")", "")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+@query(f"SELECT doc_id, md5({_cleaned('text')}) AS text FROM documents")
+def clean_numeric_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"), decompose=False)).alias("text"))
+
+
+@query(r"""WITH t AS (SELECT p_partkey, list_transform(regexp_extract_all(p_size || 'cm 2×' || p_size || 'mm ' || p_name || ' 5%', '([\p{L}\p{N}_]["#$%&''×.,]?[\p{L}\p{N}_]*)', 1), lambda w: CASE
+ WHEN regexp_matches(w, '^([0-9]*[.])?[0-9]+[a-zA-Z]+$') OR regexp_matches(w, '^[0-9]+×[0-9]+(×[0-9])*[a-zA-Z]+$') THEN regexp_replace(w, '[a-zA-Z]+$', '') || ' ' || regexp_extract(w, '[a-zA-Z]+$')
+ WHEN regexp_matches(w, '^([0-9]*[.])?[0-9]+%+$') THEN regexp_replace(w, '%+$', '') || ' ' || regexp_extract(w, '%+$') ELSE w END) AS w FROM part)
+SELECT p_partkey, array_to_string(w, ' ') AS tokens FROM t""")
+def split_units_and_values(spark, sf_dir):
+    made = F.concat(F.col("p_size").cast("string"), F.lit("cm 2×"), F.col("p_size").cast("string"), F.lit("mm "), "p_name", F.lit(" 5%"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.split_units(text.tokenize(made)), " ").alias("tokens"))
+
+
+@query("SELECT o_orderkey, cast(round(o_totalprice * 100) AS BIGINT) / 100.0 AS price FROM orders")
+def price_scrub(spark, sf_dir):
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    raw = F.concat(F.lit("SAR "), F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cleansing.scrub_price(raw).alias("price"))
+
+
+@query("SELECT page_id, md5(replace(regexp_replace(html, '<[^>]*>', '', 'g'), chr(10), ' ')) AS text FROM pages")
+def html_tag_free(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(cleansing.tag_free(F.col("html"))).alias("text"))
+
+
+@query()
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", python_udfs.html_text("html").alias("text"))
+
+
+@query()
+def price_text_parse(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", python_udfs.price_of_text(F.concat(F.lit("SAR "), F.format_number("o_totalprice", 2))).alias("price"))
+
+
+@query()
+def unicode_decompose(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"))).alias("text"))
+
+
+@query()
+def english_stems(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(text.lower_tokens(text.tokenize(F.col("text")))).alias("word")).distinct()
+    return words.select("word", python_udfs.stem_tokens(F.array("word"))[0].alias("stem"))
+
+
+@query("""SELECT event_id, 'type ' || user_id || ' k ' || coalesce(json_extract_string(props, '$.k'), '') || ' ' AS specification_text, 2::INT AS n FROM events""")
+def spec_json_parse(spark, sf_dir):
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c.cast("string"), F.lit("")), F.lit('"'))
+    row = lambda k, v: F.concat(F.lit(f'{{"key":"{k}","value":'), v, F.lit("}"))
+    raw = F.concat(F.lit("["), row("type", quoted(F.col("event_type"))), F.lit(","), row("type", quoted(F.col("user_id"))), F.lit(","), row("k", quoted(F.get_json_object("props", "$.k"))), F.lit("]"))
+    spec = text.parse_specification(raw)
+    return table(spark, sf_dir, "events").select("event_id", text.specification_text(spec).alias("specification_text"), F.size(spec).alias("n"))
+
+
+@query("SELECT p_partkey, sha256(replace(p_name, ' ', '') || p_brand) AS hash FROM part")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.content_hash(F.array_join(F.split("p_name", " "), ""), F.col("p_brand")).alias("hash"))
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS text FROM documents GROUP BY text")
+def dedupe_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return relational.first_of_each(docs, ["text"], F.col("doc_id")).select("doc_id", F.md5("text").alias("text"))
+
+
+@query("SELECT DISTINCT trim(url) AS url FROM pages WHERE url LIKE '%http%'")
+def unique_urls(spark, sf_dir):
+    from pairloom.sources.readers import unique_urls as urls
+
+    return urls(table(spark, sf_dir, "pages"), "url")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN l_extendedprice ELSE l_extendedprice / (1 - l_discount) END AS original, round(CASE WHEN l_discount = 0 THEN l_extendedprice ELSE l_extendedprice / (1 - l_discount) END - l_extendedprice, 2) AS amount, concat_ws(',', CASE WHEN l_returnflag = 'A' THEN '\"bundle\"' END, CASE WHEN l_linestatus = 'O' THEN '\"freeItem\"' END) AS type, concat_ws(',', CASE WHEN l_returnflag = 'A' THEN '\"A\"' END, CASE WHEN l_linestatus = 'O' THEN '\"O\"' END) AS name FROM lineitem")
+def discount_columns(spark, sf_dir):
+    net = F.col("l_extendedprice")
+    original = cleansing.original_price(F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(net / (1 - F.col("l_discount"))), net)
+    values = {"bundle": F.when(F.col("l_returnflag") == "A", "A"), "freeItem": F.when(F.col("l_linestatus") == "O", "O").otherwise("")}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", original.alias("original"), cleansing.discount_amount(net, original).alias("amount"), cleansing.discount_text(values, True).alias("type"), cleansing.discount_text(values, False).alias("name"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'B' || c_custkey END AS sku, ('https://' || c_name LIKE '%http%')::BOOLEAN AS is_url FROM customer")
+def sku_from_url(spark, sf_dir):
+    sku = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("")
+    url = F.concat(F.lit("https://www.amazon.sa/dp/B"), F.col("c_custkey"), F.lit("/ref"))
+    return table(spark, sf_dir, "customer").select("c_custkey", cleansing.sku_of(sku, url).alias("sku"), cleansing.is_url(F.concat(F.lit("https://"), "c_name")).alias("is_url"))
+
+
+@query("SELECT a.c_custkey AS a, b.c_custkey AS b, len(list_filter(range(1, least(len(a.c_name), len(b.c_name)) + 1), lambda i: a.c_name[i] <> b.c_name[i]))::INT AS distance FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")
+def hamming_distance(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    a, b = (c.select(F.col("c_custkey").alias(x), F.col("c_name").alias(f"n{x}")) for x in "ab")
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", cleansing.hamming(F.col("na"), F.col("nb")).alias("distance"))
+
+
+@query("""SELECT p_partkey, NOT (brand = 'apple' AND id1 <> id2 OR length(id1) > 1 AND length(id2) > 1 AND id1[1:2] = id2[1:2] AND len(list_filter(range(1, least(length(id1), length(id2)) + 1), lambda i: id1[i] <> id2[i])) > 2) AS same
+FROM (SELECT p_partkey, 'AB' || p_partkey AS id1, 'AB' || (p_partkey * 7) AS id2, CASE WHEN p_size % 5 = 0 THEN 'apple' ELSE p_brand END AS brand FROM part)""")
+def match_sanity(spark, sf_dir):
+    k = F.col("p_partkey")
+    ids = [F.concat(F.lit("AB"), k.cast("string")), F.concat(F.lit("AB"), (k * 7).cast("string"))]
+    brand = F.when(F.col("p_size") % 5 == 0, "apple").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", cleansing.same_model(F.col("p_name"), F.col("p_name"), *ids, brand).alias("same"))
+
+
+# Tags
+
+
+@query("SELECT p_partkey, p_size * 10.0 AS value, '#unit#g' AS unit, '#num#' || p_size || '|#col#red|x' AS rest FROM part WHERE p_size >= 1")
+def keyword_tags(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    tokens = keywords.tag_tokens(F.array(size, F.lit("dag"), size, F.lit("red"), F.lit("x")), _vocabulary())
+    parts = table(spark, sf_dir, "part").where("p_size >= 1").select("p_partkey", tokens.alias("t"))
+    return parts.select("p_partkey", F.col("t")[0].cast("double").alias("value"), F.col("t")[1].alias("unit"), F.array_join(F.slice("t", 3, 3), "|").alias("rest"))
+
+
+def _vocabulary():
+    from pairloom.functions.vocab import Vocabulary
+
+    base = clean_vocabulary(brands=["acme"])
+    return Vocabulary(base.units | {"dag": (10.0, "g")}, base.colors, base.brands)
+
+
+@query("SELECT p_partkey, '#id#' || (100000 + p_partkey) AS id, '#num#' || (p_size % 100) AS number, '#bnd#acme' AS brand FROM part")
+def id_number_brand_tags(spark, sf_dir):
+    tokens = keywords.tag_tokens(F.array((F.col("p_partkey") + 100000).cast("string"), (F.col("p_size") % 100).cast("string"), F.lit("acme")), _vocabulary())
+    return table(spark, sf_dir, "part").select("p_partkey", tokens.alias("t")).select("p_partkey", F.col("t")[0].alias("id"), F.col("t")[1].alias("number"), F.col("t")[2].alias("brand"))
+
+
+# Joins and sets
+
+
+@query("SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def two_join_facts(spark, sf_dir):
+    facts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return facts.groupBy("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_join_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.p, 0)::INT AS predicted_match, coalesce(l.quality, 0)::INT AS match FROM (SELECT doc_id, (n_chars > 1000)::INT AS p FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def full_outer_eval(spark, sf_dir):
+    predicted = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("predicted_match"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("match"))
+    return relational.outer_labels(predicted, labels, ["doc_id"], ["predicted_match", "match"])
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def left_anti_remove(spark, sf_dir):
+    return relational.anti_join_null_safe(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"]).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def lookup_last_source(spark, sf_dir):
+    sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_orderdate")
+    found, _ = relational.lookup_join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), sources, "l_orderkey", F.col("o_orderdate"))
+    return found.select("l_orderkey", "l_linenumber", "o_totalprice")
+
+
+def _cache(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.md5("p_name").alias("hash1"), F.md5("p_brand").alias("hash2"), (F.col("p_size") / 100.0).alias("predicted_scores"))
+
+
+def _hashed(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.md5("p_name").alias("hash1"), F.md5("p_brand").alias("hash2"))
+
+
+_CACHE = "(SELECT p_name, p_brand, max(p_size / 100.0) AS predicted_scores FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL)"
+
+
+@query(f"SELECT p.p_partkey, c.predicted_scores FROM part p JOIN {_CACHE} c USING (p_name, p_brand)")
+def cache_split_semi(spark, sf_dir):
+    return relational.split_by_cache(_hashed(spark, sf_dir), _cache(spark, sf_dir), ["hash1", "hash2"])[0].select("p_partkey", "predicted_scores")
+
+
+@query(f"SELECT p.p_partkey FROM part p LEFT JOIN {_CACHE} c USING (p_name, p_brand) WHERE c.p_name IS NULL")
+def cache_split_anti(spark, sf_dir):
+    return relational.split_by_cache(_hashed(spark, sf_dir), _cache(spark, sf_dir), ["hash1", "hash2"])[1].select("p_partkey")
+
+
+def _priced(spark, sf_dir, i, missing=False):
+    price = F.when(F.col("p_partkey") % 10 == 0, None).otherwise(F.col("p_retailprice")) if missing and i == 2 else F.col("p_retailprice") * (2 if i == 1 else 1)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias(f"id{i}"), price.alias(f"price{i}"), F.col("p_brand").alias(f"brand{i}"), F.col("p_size").alias(f"size{i}"), F.split("p_name", " ").alias(f"name{i}"))
+
+
+_EQUAL = [("brand1", "brand2"), ("size1", "size2")]
+
+
+@query("SELECT a.p_partkey AS id1, b.p_partkey AS id2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND b.p_retailprice BETWEEN 0.5 * (a.p_retailprice * 2) AND 2.0 * (a.p_retailprice * 2)")
+def price_window_join(spark, sf_dir):
+    return blocking.price_window_join(_priced(spark, sf_dir, 1), _priced(spark, sf_dir, 2), equal=_EQUAL).select("id1", "id2")
+
+
+@query("SELECT a.p_partkey AS id1, b.p_partkey AS id2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND (b.p_partkey % 10 = 0 OR b.p_retailprice BETWEEN 0.5 * (a.p_retailprice * 2) AND 2.0 * (a.p_retailprice * 2))")
+def price_window_or_missing(spark, sf_dir):
+    return blocking.price_window_or_missing(_priced(spark, sf_dir, 1), _priced(spark, sf_dir, 2, missing=True), equal=_EQUAL).select("id1", "id2")
+
+
+@query("SELECT o_custkey, count(*) AS pairs FROM (SELECT a.o_custkey FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_totalprice BETWEEN 0.5 * a.o_totalprice AND 2.0 * a.o_totalprice) GROUP BY o_custkey")
+def price_window_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    a, b = (o.select(F.col("o_custkey").alias(f"c{i}"), F.col("o_totalprice").alias(f"price{i}")) for i in (1, 2))
+    return blocking.price_window_join(a, b, equal=[("c1", "c2")]).groupBy(F.col("c1").alias("o_custkey")).agg(F.count("*").alias("pairs"))
+
+
+def _names(spark, sf_dir, i):
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias(f"n{i}"), text.lower_tokens(text.tokenize(F.col("p_name"))).alias(f"t{i}")).distinct()
+
+
+_NAMES = f"(SELECT DISTINCT p_name, list_distinct({tok('p_name')}) AS t FROM part)"
+
+
+@query(f"SELECT a.p_name AS n1, b.p_name AS n2, len(list_intersect(a.t, b.t))::INT AS shared FROM {_NAMES} a JOIN {_NAMES} b ON len(list_intersect(a.t, b.t)) >= 1")
+def token_overlap_block(spark, sf_dir):
+    return blocking.token_overlap_pairs(_names(spark, sf_dir, 1), _names(spark, sf_dir, 2), "n1", "n2", "t1", "t2")
+
+
+@query(f"SELECT a.p_name AS n1, b.p_name AS n2, round(4.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) - 1, 6) AS words FROM {_NAMES} a JOIN {_NAMES} b ON len(list_intersect(a.t, b.t)) >= 1")
+def words_ratio(spark, sf_dir):
+    met = blocking.token_overlap_pairs(_names(spark, sf_dir, 1), _names(spark, sf_dir, 2), "n1", "n2", "t1", "t2").join(_names(spark, sf_dir, 1), "n1").join(_names(spark, sf_dir, 2), "n2")
+    return met.select("n1", "n2", r6(similarity.words_ratio(F.col("t1"), F.col("t2"))).alias("words"))
+
+
+def _brothers(spark, sf_dir):
+    """Pairs of parts that follow each other."""
+    p = table(spark, sf_dir, "part")
+    a, b = (p.select(F.col("p_partkey").alias(f"k{i}"), F.col("p_size").alias(f"s{i}"), F.col("p_name").alias(f"n{i}"), F.col("p_brand").alias(f"b{i}")) for i in (1, 2))
+    return a.join(b, F.col("k2") == F.col("k1") + 1)
+
+
+_PAIR = "(SELECT a.p_partkey k1, b.p_partkey k2, a.p_size s1, b.p_size s2, a.p_name n1, b.p_name n2, a.p_brand b1, b.p_brand b2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+
+
+@query(f"SELECT k1, k2, round(4.0 * (CASE WHEN contains(k1::VARCHAR, k2::VARCHAR) OR contains(k2::VARCHAR, k1::VARCHAR) THEN 1 ELSE 0 END) / 2 - 1, 6) AS id FROM {_PAIR}")
+def id_ratio_substring(spark, sf_dir):
+    tag = lambda k: F.array(F.concat(F.lit("#id#"), F.col(k).cast("string")), F.lit("word"))
+    bare = lambda k: F.transform(keywords.with_mark(tag(k), "id"), lambda t: F.substring(t, 5, 100))
+    return _brothers(spark, sf_dir).select("k1", "k2", r6(similarity.match_ratio(bare("k1"), bare("k2"), substrings=True)).alias("id"))
+
+
+@query(f"SELECT k1, k2, CASE WHEN len(list_intersect([s1, s1 % 7], [s2, s2 % 7])) = 0 THEN 0.0 ELSE round((4 - 2.0 * len(list_intersect(list_distinct([s1, s1 % 7]), list_distinct([s2, s2 % 7])))) / 4, 6) END AS numbers FROM {_PAIR}")
+def numbers_distance(spark, sf_dir):
+    tag = lambda s: F.array(*(F.concat(F.lit("#num#"), c.cast("string")) for c in (F.col(s), F.col(s) % 7)))
+    return _brothers(spark, sf_dir).select("k1", "k2", r6(similarity.numbers_distance(tag("s1"), tag("s2"))).alias("numbers"))
+
+
+@query(f"SELECT k1, k2, CASE WHEN len(list_intersect(string_split(n1, ' '), string_split(n2, ' '))) = 0 THEN 0.0 ELSE round((len(string_split(n1, ' ')) + len(string_split(n2, ' ')) - 2.0 * len(list_intersect(list_distinct(string_split(n1, ' ')), list_distinct(string_split(n2, ' '))))) / (len(string_split(n1, ' ')) + len(string_split(n2, ' '))), 6) END AS distance FROM {_PAIR}")
+def keyword_list_distance(spark, sf_dir):
+    return _brothers(spark, sf_dir).select("k1", "k2", r6(similarity.set_distance(F.split("n1", " "), F.split("n2", " "))).alias("distance"))
+
+
+@query(f"SELECT k1, k2, CASE WHEN 0.95 * s2 < s1 AND s1 < 1.05 * s2 THEN 0.0 ELSE 0.0 END + CASE WHEN 0.95 * s2 < s1 AND s1 < 1.05 * s2 THEN round((3 - 2.0) / 3, 6) ELSE 0.0 END AS units FROM {_PAIR}")
+def units_distance(spark, sf_dir):
+    value = lambda s: F.col(s).cast("double").cast("string")
+    a = F.array(value("s1"), F.lit("#unit#m"), F.lit("1.0"), F.lit("#unit#g"))
+    return _brothers(spark, sf_dir).select("k1", "k2", r6(similarity.units_distance(a, F.array(value("s2"), F.lit("#unit#m")))).alias("units"))
+
+
+@query(f"SELECT k1, k2, CASE WHEN b1 = b2 THEN 1.0 ELSE 0.0 END + CASE WHEN s1 = s2 THEN 0.0 ELSE 0.0 END + CASE WHEN b1 = b2 THEN CASE WHEN s1 = s2 THEN 0.0 ELSE -0.5 END ELSE CASE WHEN s1 = s2 THEN 0.5 ELSE -1.0 END END AS code, CASE WHEN b1 = b2 AND s1 = s2 THEN 1.0 WHEN b1 = b2 OR s1 = s2 THEN 0.5 ELSE -1.0 END AS codes_and_ids FROM {_PAIR}")
+def code_ratio(spark, sf_dir):
+    codes = lambda i: F.array(F.col(f"b{i}"), F.col(f"s{i}").cast("string"))
+    both = [similarity.ids_and_codes(F.array(F.concat(F.lit("#id#"), F.col(f"s{i}").cast("string"))), F.array(f"b{i}")) for i in (1, 2)]
+    return _brothers(spark, sf_dir).select("k1", "k2", similarity.code_ratio(codes(1), codes(2)).alias("code"), similarity.code_ratio(*both).alias("codes_and_ids"))
+
+
+_NIBBLES = "len(list_filter(range(1, 17), lambda i: {0}[i] = {1}[i])) / 16.0"
+_HASHES = "(SELECT k1, k2, sha256(n1)[1:16] h1, sha256(n2)[1:16] h2, sha256(b1)[1:16] g1 FROM " + _PAIR + ")"
+
+
+@query(f"SELECT k1, k2, {_NIBBLES.format('h1', 'h2')} AS similarity, CASE WHEN {_NIBBLES.format('h1', 'h2')} <= 0.9 THEN {_NIBBLES.format('h1', 'h2')} ELSE 0.0 END + CASE WHEN {_NIBBLES.format('g1', 'h2')} <= 0.9 THEN {_NIBBLES.format('g1', 'h2')} ELSE 0.0 END AS total FROM {_HASHES}")
+def image_hash_similarity(spark, sf_dir):
+    h = lambda c: F.substring(F.sha2(F.col(c), 256), 1, 16)
+    return _brothers(spark, sf_dir).select("k1", "k2", similarity.nibble_similarity(h("n1"), h("n2")).alias("similarity"), similarity.hash_similarity(F.array(h("n1"), h("b1")), F.array(h("n2"))).alias("total"))
+
+
+@query("SELECT word FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark INTERSECT SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents)")
+def words_intersect(spark, sf_dir):
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+    return words("benchmark").intersect(words("documents"))
+
+
+@query("SELECT word FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark EXCEPT SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM conversations)")
+def words_except(spark, sf_dir):
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+    return words("benchmark").exceptAll(words("conversations"))
+
+
+@query("SELECT item_id AS id, md5(text) AS text, NULL::VARCHAR AS lang FROM benchmark UNION ALL SELECT doc_id, md5(text), lang FROM documents")
+def union_all(spark, sf_dir):
+    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.md5("text").alias("text"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("text"), "lang")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+# Weights of words
+
+_TERMS = r"regexp_extract_all(text, '([\p{L}\p{N}_][\p{L}\p{N}_.,-]*[\p{L}\p{N}_]|[\p{L}\p{N}_])', 1)"
+_TFIDF = f"""WITH c AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+ d AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+ r AS (SELECT item_id, term, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS raw FROM c JOIN d USING (term)),
+ w AS (SELECT item_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)) AS w FROM r)
+"""
+
+
+def _weights(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", tfidf.terms_of(F.array("text")).alias("terms"))
+    return tfidf.weights(items, "item_id", "terms")
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
+def document_frequency(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.terms_of(F.array("text")).alias("terms"))
+    return tfidf.term_counts(docs, "doc_id", "terms").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("n"))
+
+
+@query(_TFIDF + "SELECT item_id, term, round(w, 6) AS w FROM w")
+def tfidf_weights(spark, sf_dir):
+    return _weights(spark, sf_dir).select("item_id", "term", r6(F.col("w")).alias("w"))
+
+
+@query(_TFIDF + ", p AS (SELECT a.item_id AS id1, b.item_id AS id2 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) SELECT id1, id2, round(2 * coalesce((SELECT sum(x.w * y.w) FROM w x JOIN w y USING (term) WHERE x.item_id = id1 AND y.item_id = id2), 0) - 1, 6) AS cos FROM p")
+def tfidf_cosine_pairs(spark, sf_dir):
+    ids = table(spark, sf_dir, "benchmark").select("item_id")
+    pairs = ids.select(F.col("item_id").alias("id1")).join(ids.select(F.col("item_id").alias("id2")), F.col("id2") == F.col("id1") + 1)
+    w = _weights(spark, sf_dir)
+    return tfidf.cosine(pairs, w, w).select("id1", "id2", r6(F.col("cos")).alias("cos"))
+
+
+@query(_TFIDF + ", t AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY round(w, 9) DESC, term) AS r FROM w) SELECT item_id, md5(array_to_string(list_sort(list(term)), ' ')) AS top FROM t WHERE r <= 50 GROUP BY item_id")
+def top_50_terms(spark, sf_dir):
+    w = _weights(spark, sf_dir).withColumn("w", F.round("w", 9))
+    return tfidf.top_terms(w, "item_id").select("item_id", F.md5(F.array_join("top", " ")).alias("top"))
+
+
+@query(r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents) WHERE regexp_full_match(word, '\p{L}+') GROUP BY word")
+def corpus_word_counts(spark, sf_dir):
+    return evaluation.word_counts(table(spark, sf_dir, "documents"), "text")
+
+
+# Evaluation
+
+_LABELLED = "(SELECT quality::INT AS match, (n_chars > 1000)::INT AS predicted_match, n_chars / 20000.0 AS score, doc_id FROM labels JOIN documents USING (doc_id))"
+
+
+def _labelled(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return both.select(F.col("quality").cast("int").alias("match"), (F.col("n_chars") > 1000).cast("int").alias("predicted_match"), (F.col("n_chars") / 20000.0).alias("score"), "doc_id")
+
+
+_COUNTS = "count(*) FILTER (match = 1 AND {0} = 1) AS tp, count(*) FILTER (match = 0 AND {0} = 1) AS fp, count(*) FILTER (match = 0 AND {0} = 0) AS tn, count(*) FILTER (match = 1 AND {0} = 0) AS fn"
+_RATES = "round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"
+
+
+@query(f"SELECT tp, fp, tn, fn, {_RATES} FROM (SELECT {_COUNTS.format('predicted_match')} FROM {_LABELLED})")
+def confusion_metrics(spark, sf_dir):
+    m = evaluation.metrics(_labelled(spark, sf_dir))
+    return m.select("tp", "fp", "tn", "fn", *(r6(F.col(c)).alias(c) for c in ("accuracy", "recall", "specificity", "precision", "f1")))
+
+
+@query(f"SELECT match, count(*) FILTER (predicted_match = 0) AS \"0\", count(*) FILTER (predicted_match = 1) AS \"1\" FROM {_LABELLED} GROUP BY match")
+def confusion_matrix_pivot(spark, sf_dir):
+    return evaluation.confusion_matrix(_labelled(spark, sf_dir))
+
+
+@query(f"SELECT match, count(*) AS \"count\" FROM {_LABELLED} GROUP BY match")
+def class_histogram(spark, sf_dir):
+    return evaluation.histogram(_labelled(spark, sf_dir), "match")
+
+
+_THRESHOLDS = f"(SELECT bucket, max(score) AS threshold FROM (SELECT score, ntile(100) OVER (ORDER BY score) AS bucket FROM {_LABELLED}) WHERE bucket < 100 AND (SELECT count(*) FROM {_LABELLED}) >= 100 GROUP BY bucket)"
+
+
+@query(f"SELECT bucket::INT AS bucket, threshold FROM {_THRESHOLDS}")
+def threshold_buckets(spark, sf_dir):
+    return evaluation.thresholds(_labelled(spark, sf_dir), "score").select(F.col("bucket").cast("int").alias("bucket"), "threshold")
+
+
+@query(f"WITH t AS (SELECT DISTINCT threshold FROM {_THRESHOLDS}), c AS (SELECT threshold, {_COUNTS.format('(score >= threshold)::INT')} FROM {_LABELLED} CROSS JOIN t GROUP BY threshold) SELECT threshold, tp, fp, tn, fn, {_RATES}, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) AS auc FROM c")
+def threshold_sweep(spark, sf_dir):
+    scored = _labelled(spark, sf_dir)
+    m = evaluation.sweep(scored, evaluation.thresholds(scored, "score"))
+    return m.select("threshold", "tp", "fp", "tn", "fn", *(r6(F.col(c)).alias(c) for c in ("accuracy", "recall", "specificity", "precision", "f1", "auc")))
+
+
+_NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1 :]) + ")")
+def correlation_matrix(spark, sf_dir):
+    return evaluation.correlations(table(spark, sf_dir, "lineitem"), list(_NUMERIC)).select("a", "b", r6(F.col("r")).alias("r"))
+
+
+@query("SELECT " + ", ".join(f"round(avg(({c} <> 0)::INT) * 100, 6) AS {c}" for c in _NUMERIC) + " FROM lineitem")
+def nonzero_shares(spark, sf_dir):
+    return evaluation.nonzero_share(table(spark, sf_dir, "lineitem"), list(_NUMERIC)).select(*(r6(F.col(c)).alias(c) for c in _NUMERIC))
+
+
+@query("SELECT doc_id, count(*) AS times FROM (SELECT doc_id FROM labels WHERE quality = 0 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 2 = 0) GROUP BY doc_id HAVING count(*) = 2")
+def misclassified_often(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return evaluation.misclassified_often([labels.where("quality = 0"), labels.where("toxic = 1"), labels.where("doc_id % 2 = 0")], "doc_id", 2)
+
+
+@query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 500)::INT AS chunk FROM documents")
+def chunk_ids(spark, sf_dir):
+    return relational.chunk_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT n_nationkey, ntile(4) OVER (ORDER BY n_nationkey)::INT AS chunk FROM nation")
+def query_chunks(spark, sf_dir):
+    return relational.query_chunks(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 4)
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 500")
+def training_rows_limit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(500)
+
+
+@query("SELECT a.page_id AS page_id1, b.page_id AS page_id2, (a.page_id % 2 = 0)::INT AS match FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 JOIN (SELECT url AS u1, count(*) AS n FROM pages GROUP BY url) c ON c.u1 = a.url JOIN (SELECT url AS u2, count(*) AS m FROM pages GROUP BY url) d ON d.u2 = b.url WHERE n = 1 AND m = 1")
+def labelled_url_pairs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    once = pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n = 1").select("page_id", "url")
+    a, b = once.select(F.col("page_id").alias("k"), F.col("url").alias("source_url")), once.select((F.col("page_id") - 1).alias("k"), F.col("url").alias("target_url"))
+    urls = a.join(b, "k").select("source_url", "target_url", F.when(F.col("k") % 2 == 0, "match").otherwise("other").alias("match_type"))
+    return matching.labelled_pairs(urls, once, once).select("page_id1", "page_id2", "match")
+
+
+# What SQL can't say: random choices, models, files
+
+
+@query()
+def weighted_sample(spark, sf_dir):
+    return relational.weighted_sample(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") / 25.0, 0.5)
+
+
+@query()
+def train_test_split(spark, sf_dir):
+    learn, test = relational.hash_split(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 0.8)
+    return learn.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query()
+def export_bounded_csv(spark, sf_dir):
+    from pairloom.sources.writers import export_csv
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{top}/export-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    export_csv(rows, path, 200_000)
+    back = spark.read.csv(path, header=True, sep=";", schema="l_orderkey long, l_linenumber int, l_returnflag string")
+    return back.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).select("n")
+
+
+def products(spark, sf_dir) -> DataFrame:
+    """Parts as products: a specification and codes are made from their columns."""
+    p = table(spark, sf_dir, "part")
+    spec = F.array(F.struct(F.lit("size").alias("key"), F.concat(F.col("p_size").cast("string"), F.lit(" cm")).alias("value")), F.struct(F.lit("type").alias("key"), F.col("p_type").alias("value")))
+    made = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_brand", "p_name", "p_size").alias("name"), F.col("p_type").alias("short_description"), F.concat_ws(" ", "p_name", "p_type", F.lit("size"), "p_size", F.lit("cm")).alias("long_description"), spec.alias("specification"), F.col("p_retailprice").alias("price"), F.concat(F.lit("http://shop/"), "p_partkey").alias("url"), F.array("p_brand").alias("code"), F.col("p_brand").alias("brand"))
+    return matching.as_products(made)
+
+
+@query()
+def pair_features(spark, sf_dir):
+    tokens = features.tokenised(products(spark, sf_dir), clean_vocabulary())
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id1"), (F.col("p_partkey") + 1).cast("string").alias("id2"))
+    return features.features(ids, tokens, tokens, birthdate=F.lit("2000-01-01"))
+
+
+@query()
+def specification_similarity(spark, sf_dir):
+    tokens = features.tokenised(products(spark, sf_dir), clean_vocabulary())
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id1"), (F.col("p_partkey") + 1).cast("string").alias("id2"))
+    return features.specification_matches(features.pair_frame(ids, tokens, tokens))
+
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", (F.col("label") < 5).cast("int").alias("match"), *(F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"x{i}") for i in range(16)))
+
+
+def _training(kind: str, **params):
+    def run(spark, sf_dir):
+        rows = _vectors(spark, sf_dir).cache()
+        model = classifiers.fit(rows, kind, [f"x{i}" for i in range(16)], **params)
+        return evaluation.metrics(model.score(rows))
+
+    return run
+
+
+for _name, _kind, _params in (
+    ("train_linear_regression", "LinearRegression", {}), ("train_logistic_regression", "LogisticRegression", {}), ("train_svm", "SupportVectorMachine", {"degree": 2}),
+    ("train_decision_tree", "DecisionTree", {}), ("train_random_forest", "RandomForest", {"numTrees": 20}), ("train_neural_network", "NeuralNetwork", {"maxIter": 60}),
+    ("train_bagging", "Bagging", {"models": 3, "share": 0.5, "maxIter": 40}), ("train_boosting", "Boosting", {"models": 3, "share": 0.5, "maxIter": 40}),
+    ("train_adaboost", "AdaBoost", {"models": 4}), ("train_gradient_boosting", "GradientBoosting", {"maxIter": 10}), ("train_with_pca", "LogisticRegression", {"pca": 10}),
+):
+    QUERIES[_name] = _training(_kind, **_params)
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, list_distinct({tok('p_name')}) AS t FROM part),
+ m AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2, len(list_intersect(a.t, b.t)) AS shared, len(a.t) + len(b.t) AS both FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN 0.5 * a.p_retailprice AND 2.0 * a.p_retailprice)
+ SELECT id1, id2, round(4.0 * shared / both - 1, 6) AS score FROM m WHERE shared >= 1""")
+def part_matches(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Parts of one brand and size that are near in price and share words of their names, scored by those words."""
+    p = table(spark, sf_dir, "part")
+    side = lambda i: p.select(F.col("p_partkey").alias(f"id{i}"), F.col("p_retailprice").alias(f"price{i}"), F.col("p_brand").alias(f"brand{i}"), F.col("p_size").alias(f"size{i}"), text.lower_tokens(text.tokenize(F.col("p_name"))).alias(f"name{i}"))
+    met = blocking.price_window_join(side(1), side(2), equal=_EQUAL).where(F.col("id1") < F.col("id2"))
+    kept = met.where(blocking.names_allow(F.col("name1"), F.col("name2"), Config()))
+    return kept.select("id1", "id2", r6(similarity.words_ratio(F.col("name1"), F.col("name2"))).alias("score"))
