@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom.config import MARKS, Config
+from pairloom.functions import let
 from pairloom.functions.vocab import Vocabulary
 
 #: What Python's float() takes, without the signs of a word.
@@ -31,6 +32,10 @@ def neighbour(tokens: Column, i: Column, by: int) -> Column:
 
 def python_float(value: Column) -> Column:
     """A double as Python writes it: 1.0E16 is 1e+16, 1.0E-5 is 1e-05."""
+    return let(value, _python_float)
+
+
+def _python_float(value: Column) -> Column:
     text = value.cast("string")
     m, e = F.regexp_extract(text, r"^(-?[\d.]+)E(-?\d+)$", 1), F.regexp_extract(text, r"^(-?[\d.]+)E(-?\d+)$", 2).try_cast("int")
     exact = F.when(F.abs(value) < 1e16, F.when(value == F.floor(value), F.concat(value.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.\d*?[1-9])0+$|\.0+$", "$1")))
@@ -49,7 +54,10 @@ def join_spaced(tokens: Column, names: list[str]) -> Column:
 
 def tag_units(tokens: Column, vocabulary: Vocabulary) -> Column:
     """A unit behind a number becomes its base unit, and the number is converted."""
-    tokens = join_spaced(tokens, vocabulary.spaced_units)
+    return let(join_spaced(tokens, vocabulary.spaced_units), lambda t: _tag_units(t, vocabulary))
+
+
+def _tag_units(tokens: Column, vocabulary: Vocabulary) -> Column:
     factors, bases = vocabulary.unit_maps()
     known = lambda t: F.map_contains_key(factors, F.lower(t))
     plain = lambda t: F.regexp_replace(F.regexp_replace(t, "^([^,]*),", "$1"), r"^([^.]*)\.", "$1").rlike(r"^\p{N}+$")
@@ -75,7 +83,10 @@ def tag_color(token: Column, vocabulary: Vocabulary) -> Column:
 
 def tag_id(token: Column, following: Column, config: Config, known_words: Column | None = None) -> Column:
     """Long tokens of digits, letters or both that look like identifiers; no unit behind digits."""
-    bare = F.regexp_replace(token, r"[^\p{L}\p{N}]", "")
+    return let(F.regexp_replace(token, r"[^\p{L}\p{N}]", ""), lambda bare: _tag_id(token, bare, following, config, known_words))
+
+
+def _tag_id(token: Column, bare: Column, following: Column, config: Config, known_words: Column | None) -> Column:
     lower = (F.lower(bare) == bare) & bare.rlike(r"\p{L}")
     marked = bare.rlike("^(?:unit|bnd|col)") & token.startswith("#")
     skip = (F.length(bare) < config.id_length) | lower | marked
@@ -99,25 +110,28 @@ def tag_brands(tokens: Column, vocabulary: Vocabulary) -> Column:
 
 def tag_tokens(tokens: Column, vocabulary: Vocabulary, config: Config = Config(), units=True, colors=True, ids=True, numbers=True, brands=True) -> Column:
     """Units, then colour, identifier and number of each token, then brands. No tokens give one empty token."""
-    tokens = F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(tokens)
+    tokens = let(tokens, lambda t: F.when(F.size(t) == 0, F.array(F.lit(""))).otherwise(t))
     if units:
         tokens = tag_units(tokens, vocabulary)
 
     def each(all_tokens: Column) -> Column:
         def tag(t: Column, i: Column) -> Column:
-            following, out = neighbour(all_tokens, i, 1), t
-            is_value = t.startswith(MARKS["unit"])
-            if numbers:
-                out = F.when(is_value, t).otherwise(tag_number(t, following))
-            if ids:
-                out = F.when(tag_id(t, following, config) != t, tag_id(t, following, config)).otherwise(out)
+            return let(neighbour(all_tokens, i, 1), lambda following: first_tag(t, following))
+
+        def first_tag(t: Column, following: Column) -> Column:
+            """A colour, else an identifier, else a number: the first that changes the token."""
+            tried = [F.lit(None)]
             if colors:
-                out = F.when(tag_color(t, vocabulary) != t, tag_color(t, vocabulary)).otherwise(out)
-            return out
+                tried.append(F.nullif(tag_color(t, vocabulary), t))
+            if ids:
+                tried.append(F.nullif(tag_id(t, following, config), t))
+            if numbers:
+                tried.append(F.nullif(tag_number(t, following), t))
+            return F.when(t.startswith(MARKS["unit"]), t).otherwise(F.coalesce(*tried, t))
 
         return F.transform(all_tokens, tag)
 
-    tokens = each(tokens)
+    tokens = let(tokens, each)
     return tag_brands(tokens, vocabulary) if brands else tokens
 
 
@@ -131,6 +145,10 @@ def without_marks(tokens: Column) -> Column:
 
 def unit_values(tokens: Column) -> Column:
     """Unit and the token in front of it; in front of the first one stands the last."""
+    return let(tokens, _unit_values)
+
+
+def _unit_values(tokens: Column) -> Column:
     pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("unit"), F.when(i > 0, F.get(tokens, i - F.lit(1))).otherwise(F.element_at(tokens, -1)).alias("value")))
     return F.filter(pairs, lambda p: p["unit"].contains(MARKS["unit"]))
 

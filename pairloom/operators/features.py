@@ -10,6 +10,7 @@ from pairloom.functions import keywords, similarity, text
 from pairloom.functions.vocab import Vocabulary
 from pairloom.operators import tfidf
 from pairloom.schema import feature_columns
+from pairloom.sources.writers import materialise
 
 BASE = ("name", "short_description", "long_description")
 
@@ -17,7 +18,7 @@ BASE = ("name", "short_description", "long_description")
 def tokenised(products: DataFrame, vocabulary: Vocabulary, config: Config = Config(), decompose: bool = False) -> DataFrame:
     """id, price, url, code, and tagged tokens of every text column, of the keyword lists and of the specification.
 
-    One projection without a shuffle. products: as schema.PRODUCT.
+    One projection without a shuffle, written once since every feature reads it. products: as schema.PRODUCT.
     """
     empty = F.array().cast("array<string>")
     tokens = {c: text.preprocess(F.coalesce(F.col(c), F.lit("")), decompose, lower=config.lower_case) for c in BASE}
@@ -30,7 +31,8 @@ def tokenised(products: DataFrame, vocabulary: Vocabulary, config: Config = Conf
     lists = keywords.keyword_lists(*(F.col(n) for n in tokens))
     out = marked.withColumns({n: F.coalesce(c, empty) for n, c in lists.items()})
     out = out.withColumn("all_texts", text.all_texts(*(F.col(n) for n in tokens)))
-    return out.withColumn("all_texts_hash", text.content_hash(*(F.array_join(n, "") for n in tokens), keywords.python_float(F.col("price"))))
+    out = out.withColumn("all_texts_hash", text.content_hash(*(F.array_join(n, "") for n in tokens), keywords.python_float(F.col("price"))))
+    return materialise(out, "tokens")
 
 
 def specification_matches(pairs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -83,7 +85,7 @@ def features(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config
 def _weighted(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str, own: tuple[str, ...], config: Config) -> DataFrame:
     """Cosine and descriptive words of one text column; the corpus is both sides."""
     docs = left.select(F.concat(F.lit("1:"), "id").alias("key"), tfidf.terms_of(F.col(column)).alias("terms")).unionByName(right.select(F.concat(F.lit("2:"), "id").alias("key"), tfidf.terms_of(F.col(column)).alias("terms")))
-    w = tfidf.weights(docs, "key", "terms")
+    w = materialise(tfidf.weights(docs, "key", "terms"), "weights")
     one, two = (w.where(F.col("key").startswith(f"{i}:")).withColumn("key", F.substring("key", 3, 1 << 20)) for i in (1, 2))
     out = pairs
     if "cos" in own:

@@ -52,17 +52,16 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int = 42) -> tuple[D
 
 def weighted_sample(df: DataFrame, weight: Column, share: float, seed: int = 42) -> DataFrame:
     """Sample with replacement: each row stands as often as a Poisson draw of weight * share says, from its own random number."""
-    rate = weight * share
-    u = F.rand(seed)
-    terms = [F.exp(-rate)]
-    for k in range(1, 24):
-        terms.append(terms[-1] * rate / k)
-    drawn = df.withColumn("__u", u)
-    times, total = F.lit(0), F.lit(0.0)
-    for t in terms:
-        total = total + t
-        times = times + (F.col("__u") >= total).cast("int")
-    return drawn.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__u", "__times", "__copy")
+    # the count of a Poisson draw: how many partial sums of the distribution a uniform number has passed
+    steps = F.sequence(F.lit(1), F.lit(23))
+    first = F.struct(F.exp(-F.col("__rate")).alias("term"), F.exp(-F.col("__rate")).alias("sum"), (F.col("__u") >= F.exp(-F.col("__rate"))).cast("int").alias("times"))
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] * F.col("__rate") / k
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"), (state["times"] + (F.col("__u") >= state["sum"] + term).cast("int")).alias("times"))
+
+    drawn = df.withColumn("__rate", (weight * share).cast("double")).withColumn("__u", F.rand(seed)).withColumn("__times", F.aggregate(steps, first, add, lambda s: s["times"]))
+    return drawn.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__rate", "__u", "__times", "__copy")
 
 
 def chunk_ids(df: DataFrame, order: str, size: int = 500) -> DataFrame:

@@ -185,7 +185,7 @@ def match_sanity(spark, sf_dir):
 # Tags
 
 
-@query("SELECT p_partkey, p_size * 10.0 AS value, '#unit#g' AS unit, '#num#' || p_size || '|#col#red|x' AS rest FROM part WHERE p_size >= 1")
+@query("SELECT p_partkey, (p_size * 10)::DOUBLE AS value, '#unit#g' AS unit, '#num#' || p_size || '|#col#red|x' AS rest FROM part WHERE p_size >= 1")
 def keyword_tags(spark, sf_dir):
     size = F.col("p_size").cast("string")
     tokens = keywords.tag_tokens(F.array(size, F.lit("dag"), size, F.lit("red"), F.lit("x")), _vocabulary())
@@ -338,7 +338,7 @@ def units_distance(spark, sf_dir):
     return _brothers(spark, sf_dir).select("k1", "k2", r6(similarity.units_distance(a, F.array(value("s2"), F.lit("#unit#m")))).alias("units"))
 
 
-@query(f"SELECT k1, k2, CASE WHEN b1 = b2 THEN 1.0 ELSE 0.0 END + CASE WHEN s1 = s2 THEN 0.0 ELSE 0.0 END + CASE WHEN b1 = b2 THEN CASE WHEN s1 = s2 THEN 0.0 ELSE -0.5 END ELSE CASE WHEN s1 = s2 THEN 0.5 ELSE -1.0 END END AS code, CASE WHEN b1 = b2 AND s1 = s2 THEN 1.0 WHEN b1 = b2 OR s1 = s2 THEN 0.5 ELSE -1.0 END AS codes_and_ids FROM {_PAIR}")
+@query(f"SELECT k1, k2, 0::DOUBLE + CASE WHEN b1 = b2 THEN 1.0 ELSE 0.0 END + CASE WHEN b1 = b2 THEN CASE WHEN s1 = s2 THEN 0.0 ELSE -0.5 END ELSE CASE WHEN s1 = s2 THEN 0.5 ELSE -1.0 END END AS code, (CASE WHEN b1 = b2 AND s1 = s2 THEN 1.0 WHEN b1 = b2 OR s1 = s2 THEN 0.5 ELSE -1.0 END)::DOUBLE AS codes_and_ids FROM {_PAIR}")
 def code_ratio(spark, sf_dir):
     codes = lambda i: F.array(F.col(f"b{i}"), F.col(f"s{i}").cast("string"))
     both = [similarity.ids_and_codes(F.array(F.concat(F.lit("#id#"), F.col(f"s{i}").cast("string"))), F.array(f"b{i}")) for i in (1, 2)]
@@ -579,8 +579,8 @@ for _name, _kind, _params in (
 
 
 @query(f"""WITH n AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, list_distinct({tok('p_name')}) AS t FROM part),
- m AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2, len(list_intersect(a.t, b.t)) AS shared, len(a.t) + len(b.t) AS both FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN 0.5 * a.p_retailprice AND 2.0 * a.p_retailprice)
- SELECT id1, id2, round(4.0 * shared / both - 1, 6) AS score FROM m WHERE shared >= 1""")
+ m AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2, len(list_intersect(a.t, b.t)) AS shared, len(a.t) + len(b.t) AS tokens FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN 0.5 * a.p_retailprice AND 2.0 * a.p_retailprice)
+ SELECT id1, id2, round(4.0 * shared / tokens - 1, 6) AS score FROM m WHERE shared >= 1""")
 def part_matches(spark, sf_dir):
     return flagship(spark, sf_dir)
 

@@ -58,3 +58,21 @@ def get_state(spark: SparkSession, path: str, name: str, default=None):
 def put_remote(path: str, host: str) -> None:
     """Transfer to a remote host is left to the deployment."""
     raise NotImplementedError(f"no transfer of {path} to {host} is configured")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet and read again: a short plan for what uses it often, and no lineage to compute anew.
+
+    The folder is under spark.checkpoint.dir, which all executors share; where that is unset, a temporary one is set.
+    """
+    import tempfile
+    import uuid
+
+    conf = df.sparkSession.conf
+    top = conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = f"file://{tempfile.mkdtemp(prefix='pairloom-')}"
+        conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
