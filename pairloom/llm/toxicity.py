@@ -11,6 +11,8 @@ kinds every score is 0; an empty table gives no rows; other columns are not read
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -40,25 +42,36 @@ class NoisyOr:
         y = np.array(labels, bool)
         if not y.any() or y.all():
             return self
-        sentences, docs, held = [], [], Counter()
-        toxic: Counter[str] = Counter()
+        n, p, size = len(y), y.mean(), 1 << 20
+        # documents that hold each feature, first by hash: most features tell nothing and are never kept as strings
+        held, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        place = lambda f: zlib.crc32(f.encode()) & (size - 1)
+        for text, bad in zip(texts, y, strict=True):
+            own = np.unique([place(f) for w in set(WORD.findall(text.lower())) for f in features_of(w)] or [0])
+            held[own] += 1
+            toxic[own] += bad
+        tells = lambda t, c: (t - c * p) ** 2 / np.maximum(c * p * (1 - p) * (1 - c / (n + 1)), 1e-9)
+        likely = (held >= least_docs) & (tells(toxic, held) > 6.6)
+        counts: Counter[str] = Counter()
+        bad_counts: Counter[str] = Counter()
+        for text, bad in zip(texts, y, strict=True):
+            own = {f for w in set(WORD.findall(text.lower())) for f in features_of(w) if likely[place(f)]}
+            counts.update(own)
+            if bad:
+                bad_counts.update(own)
+        telling = {f: tells(bad_counts[f], c) for f, c in counts.items() if c >= least_docs}
+        names = sorted((f for f, x in telling.items() if x > 6.6), key=lambda f: (-telling[f], f))[:most_features]
+        index = {f: k for k, f in enumerate(names)}
+        docs, pair_rows, pair_features = [], array("q"), array("q")
         for i, text in enumerate(texts):
-            seen = set()
             for s in SENTENCE.findall(text.lower()):
-                own = {f for w in set(WORD.findall(s)) for f in features_of(w)}
-                if own:
-                    sentences.append(own)
+                if words := set(WORD.findall(s)):
+                    for k in {index[f] for w in words for f in features_of(w) if f in index}:
+                        pair_rows.append(len(docs))
+                        pair_features.append(k)
                     docs.append(i)
-                    seen |= own
-            held.update(seen)
-            if y[i]:
-                toxic.update(seen)
-        n, p = len(y), y.mean()
-        telling = {f: (toxic[f] - c * p) ** 2 / (c * p * (1 - p) * (1 - c / (n + 1))) for f, c in held.items() if c >= least_docs}
-        names = sorted((f for f, x in telling.items() if x > 6.6), key=lambda f: (-telling[f], f))[:most_features]
-        index = {f: k for k, f in enumerate(names)}
-        pairs = np.array([(s, index[f]) for s, own in enumerate(sentences) for f in own if f in index], np.int64).reshape(-1, 2)
-        owner = np.array(docs, np.int64)
+        sentences, owner = docs, np.array(docs, np.int64)
+        pairs = np.stack([np.array(pair_rows, np.int64), np.array(pair_features, np.int64)], axis=1)
         w, b, m, v = np.zeros(len(names)), -8.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
         for t in range(1, steps + 1):
             z = b + np.bincount(pairs[:, 0], w[pairs[:, 1]], len(sentences))
