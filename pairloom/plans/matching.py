@@ -19,7 +19,7 @@ from pairloom.sources import writers
 def normalise(rows: DataFrame, mapping: dict[str, str | list[str]], html_columns: tuple[str, ...] = ("short_description", "long_description"), prices: tuple[str, ...] = ("price",)) -> DataFrame:
     """Scraped rows under the product's column names: repeated rows gone, nested prices, specifications, images and codes
     flattened, markup turned into text, prices parsed."""
-    out = cleansing.map_attributes(rows, mapping).dropDuplicates()
+    out = cleansing.map_attributes(rows, mapping)
     kinds = dict(out.dtypes)
     for c, kind in kinds.items():
         col = F.col(f"`{c}`")
@@ -42,7 +42,7 @@ def normalise(rows: DataFrame, mapping: dict[str, str | list[str]], html_columns
         else:
             continue
         out = out.withColumn(c, col)
-    return out
+    return out.dropDuplicates()
 
 
 def as_products(df: DataFrame) -> DataFrame:

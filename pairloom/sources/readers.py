@@ -45,7 +45,7 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFram
 
 def read_image_chunks(spark: SparkSession, path: str) -> DataFrame:
     """name, content of images kept as JSON objects of base64 texts."""
-    chunks = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    chunks = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("m"))
     return chunks.select(F.explode("m").alias("name", "data")).select("name", F.unbase64("data").alias("content"))
 
 
