@@ -74,10 +74,12 @@ def features(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config
     made["code"] = similarity.code_ratio(F.col("code1"), F.col("code2"))
     both = [similarity.ids_and_codes(F.col(f"all_ids_list{i}"), F.col(f"code{i}")) for i in (1, 2)]
     made["codes_and_ids"] = similarity.code_ratio(*both)
-    out = frame.select("id1", "id2", "all_texts_hash1", "all_texts_hash2", *(c.cast("double").alias(n) for n, c in made.items()))
+    ids = ["id1", "id2", "all_texts_hash1", "all_texts_hash2"]
+    out = materialise(frame.select(*ids, *(c.cast("double").alias(n) for n, c in made.items())), "features")
+    pairs = out.select("id1", "id2")
     for column, own in config.similarities().items():
         if "cos" in own or "descriptives" in own:
-            out = out.join(_weighted(frame.select("id1", "id2"), left, right, column, own, config), ["id1", "id2"])
+            out = out.join(_weighted(pairs, left, right, column, own, config), ["id1", "id2"])
     out = out.join(specification_matches(frame, config), ["id1", "id2"])
     return out.select("id1", "id2", "all_texts_hash1", "all_texts_hash2", (birthdate if birthdate is not None else F.date_format(F.current_date(), "yyyy-MM-dd")).alias("birthdate"), *feature_columns(config))
 
