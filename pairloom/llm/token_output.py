@@ -22,7 +22,7 @@ from pairloom.llm.common import slices
 from pairloom.llm.tokens import encoder
 
 FILE_SCHEMA = "doc_id long, ids array<int>, file int, before long"
-#: Characters encoded at once: large, since the distinct words of a larger piece are fewer beside its words.
+#: Characters encoded at once: large, since a larger piece has fewer distinct words beside its words. Bounds a call's arrays to about 200 MB.
 ENCODE_CHARS = 12_000_000
 
 
