@@ -579,16 +579,16 @@ for _name, _kind, _params in (
 
 
 @query(f"""WITH n AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, list_distinct({tok('p_name')}) AS t FROM part),
- m AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2, len(list_intersect(a.t, b.t)) AS shared, len(a.t) + len(b.t) AS tokens FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN 0.5 * a.p_retailprice AND 2.0 * a.p_retailprice)
+ m AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2, len(list_intersect(a.t, b.t)) AS shared, len(a.t) + len(b.t) AS tokens FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size // 10 = b.p_size // 10 AND a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN 0.5 * a.p_retailprice AND 2.0 * a.p_retailprice)
  SELECT id1, id2, round(4.0 * shared / tokens - 1, 6) AS score FROM m WHERE shared >= 1""")
 def part_matches(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand and size that are near in price and share words of their names, scored by those words."""
+    """Parts of one brand and size class that are near in price and share words of their names, scored by those words."""
     p = table(spark, sf_dir, "part")
-    side = lambda i: p.select(F.col("p_partkey").alias(f"id{i}"), F.col("p_retailprice").alias(f"price{i}"), F.col("p_brand").alias(f"brand{i}"), F.col("p_size").alias(f"size{i}"), text.lower_tokens(text.tokenize(F.col("p_name"))).alias(f"name{i}"))
+    side = lambda i: p.select(F.col("p_partkey").alias(f"id{i}"), F.col("p_retailprice").alias(f"price{i}"), F.col("p_brand").alias(f"brand{i}"), F.floor(F.col("p_size") / 10).alias(f"size{i}"), text.lower_tokens(text.tokenize(F.col("p_name"))).alias(f"name{i}"))
     met = blocking.price_window_join(side(1), side(2), equal=_EQUAL).where(F.col("id1") < F.col("id2"))
     kept = met.where(blocking.names_allow(F.col("name1"), F.col("name2"), Config()))
     return kept.select("id1", "id2", r6(similarity.words_ratio(F.col("name1"), F.col("name2"))).alias("score"))
