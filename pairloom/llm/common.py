@@ -50,6 +50,18 @@ def slices(sizes: np.ndarray, most: int = CHUNK_CHARS, rows: int = 2048) -> Iter
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Spark keeps Python workers for later tasks of any kind."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], fn: Callable[[list[str]], list], where: Callable[[list], list[bool]] | None = None) -> DataFrame:
     """The columns `keep` of df, then those that `fn` makes from a list of texts (null texts arrive as "").
 
@@ -77,6 +89,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
                     yield pa.RecordBatch.from_arrays([c.filter(mask) for c in own], names)
                 else:
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names)
+        give_back()
 
     given = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
     return given.mapInArrow(run, out)

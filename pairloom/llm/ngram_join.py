@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import map_texts, shared_folder
+from pairloom.llm.common import give_back, map_texts, shared_folder, slices
 from pairloom.llm.shingles import mix, shingle_hashes
 
 #: Nodes of a block; a tile holds two blocks at most.
@@ -50,18 +50,27 @@ class Sketcher:
         self.salts = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        flat, at = shingle_hashes(texts, self.size)
-        return [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = []
+        for first, last in slices(np.array([len(t) for t in texts], np.int64), 1_000_000):
+            flat, at = shingle_hashes(texts[first:last], self.size)
+            out += [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
 
     @staticmethod
     def node(own: np.ndarray) -> bytes | None:
         return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
+    @staticmethod
+    def mark(node: bytes) -> int:
+        return int.from_bytes(node[:8], "little", signed=True)
+
     def band_hashes(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row of band hashes for each set that isn't empty."""
-        sizes = np.array([len(s) for s in sets])
-        if not len(sizes):
-            return np.empty((0, self.bands), np.int64)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        parts = [self._band_hashes(sets[a:b], sizes[a:b]) for a, b in slices(sizes, 200_000)]
+        return np.concatenate(parts) if parts else np.empty((0, self.bands), np.int64)
+
+    def _band_hashes(self, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         flat, first = np.concatenate(sets), np.cumsum(sizes) - sizes
         out = np.tile(self.salts, (len(sets), 1))
         with np.errstate(over="ignore"):
@@ -77,31 +86,32 @@ def sketcher(size: int, bands: int, rows: int) -> Sketcher:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """key, node (null without a word), bands."""
+    """key, node (null without a word), mark (the node's first eight bytes), bands."""
 
     def sign(texts):
         s = sketcher(size, bands, rows)
         sets = s.sets(texts)
         full = [x for x in sets if len(x)]
-        made = iter(np.concatenate([s.band_hashes(full[a : a + 64]) for a in range(0, len(full), 64)]).tolist() if full else [])
-        return [[s.node(x) for x in sets], [next(made) if len(x) else None for x in sets]]
+        made = iter(s.band_hashes(full).tolist())
+        nodes = [s.node(x) for x in sets]
+        return [nodes, [n and s.mark(n) for n in nodes], [next(made) if len(x) else None for x in sets]]
 
-    return map_texts(docs, text, [key], [T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], sign)
+    return map_texts(docs, text, [key], [T.StructField("node", T.BinaryType()), T.StructField("mark", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], sign)
 
 
 def tiles_of(reps: DataFrame, block: int) -> DataFrame:
-    """node, rep, copies, tile, band, side: the tiles in which each node meets others. side: -1 if it is alone with its block."""
-    placed = reps.select("node", "rep", "copies", F.posexplode("bands").alias("band", "bucket"))
-    buckets = placed.groupBy("bucket").agg(F.count("*").alias("held"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("band").alias("first"))
+    """rep, mark, copies, tile, band, side: the tiles in which each node meets others. side: -1 if it is alone with its block."""
+    placed = reps.select("rep", "mark", "copies", F.posexplode("bands").alias("band", "bucket"))
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("mark")).alias("who"), F.min("band").alias("first"))
     # equal buckets share their members in every band: the first one stands for all
     kept = buckets.where("held > 1").groupBy("held", "who").agg(F.min(F.struct("first", "bucket")).alias("b")).select("b.bucket", "held")
     blocks = F.ceil(F.col("held") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("mark", "bucket"), F.col("blocks")).cast("int")
     met = placed.join(kept, "bucket").withColumn("blocks", blocks).withColumn("own", own)
     met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    return met.select("node", "rep", "copies", tile.alias("tile"), F.col("band").cast("int").alias("band"), side.cast("int").alias("side"))
+    return met.select("rep", "mark", "copies", tile.alias("tile"), F.col("band").cast("int").alias("band"), side.cast("int").alias("side"))
 
 
 def common_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -151,52 +161,48 @@ def links_in_tile(nodes: list[bytes], copies: np.ndarray, sides: np.ndarray, ban
 
 
 def tile_links(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, bands: int, per_band: int, threshold: float) -> DataFrame:
-    """node, documents, nodes, root for each node and tile in which it has links."""
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("rep"), F.col(text).alias("text"))
+    """node, documents, nodes, root for each node and tile in which it has links.
 
-    def with_sets(batches):
-        s, last, known = sketcher(size, bands, per_band), None, None
-        for batch in batches:
-            node, copies, tile, band, side, body = (batch.column(i) for i in range(6))
-            sets, hashes, keep = [], [], []
-            for i, t in enumerate(body):
-                if (mine := t.as_py() or "") != last:
-                    last, own = mine, s.sets([mine])[0]
-                    known = (s.node(own), own.tobytes(), s.band_hashes([own]).tobytes() if len(own) else b"")
-                keep.append(known[0] == node[i].as_py())  # another text under a repeated id
-                sets.append(known[1])
-                hashes.append(known[2])
-            out = pa.RecordBatch.from_arrays([tile, node, copies, band, side, pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], ["tile", "node", "copies", "band", "side", "hashes", "own"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+    Tiles get texts, which are smaller than n-gram sets when shuffled, and make the sets of their nodes anew.
+    """
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def compare(batches):
-        held, tile = {}, None
+        s, held, tile = sketcher(size, bands, per_band), [], None
 
         def done():
-            if len(held) > 1:
-                rows = list(held.values())
-                yield from links_in_tile([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[3] for r in rows]), rows[0][2], np.stack([np.frombuffer(r[4], np.int64) for r in rows]), [np.frombuffer(r[5], np.uint64) for r in rows], threshold)
+            if len(held) < 2:
+                return
+            rows = {}  # repeated rows of one id come twice, other texts under a repeated id have another mark
+            for own, (mark, copies, band, side, _) in zip(s.sets([r[4] for r in held]), held, strict=True):
+                node = s.node(own)
+                if node and s.mark(node) == mark:
+                    rows[node] = (copies, band, side, own)
+            if len(rows) > 1:
+                copies, band, sides, sets = zip(*rows.values(), strict=True)
+                yield from links_in_tile(list(rows), np.array(copies, np.float64), np.array(sides), band[0], s.band_hashes(list(sets)), list(sets), threshold)
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "documents", "nodes", "root"])
 
         found: list = []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for t, node, *rest in zip(*columns, strict=True):
+            for t, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != tile:
                     found.extend(done())
-                    held, tile = {}, t
-                held[node] = (node, *rest)  # repeated rows of one id come twice
+                    held, tile = [], t
+                held.append(rest)
             if len(found) > 5000:
                 yield batch_of(found)
                 found = []
         found.extend(done())
         if found:
             yield batch_of(found)
+        held = found = []
+        give_back()
 
-    sets = rows.join(texts, "rep").select("node", "copies", "tile", "band", "side", "text").mapInArrow(with_sets, "tile long, node binary, copies long, band int, side int, hashes binary, own binary")
-    return sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "node binary, documents long, nodes long, root binary")
+    met = rows.join(texts, "rep").select("tile", "mark", "copies", "band", "side", "text")
+    return met.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "node binary, documents long, nodes long, root binary")
 
 
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
@@ -242,7 +248,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     path = shared_folder(spark, "signatures")
     signatures(docs, key, text, size, bands, rows).write.parquet(path)
     signed = spark.read.parquet(path)
-    reps = signed.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    reps = signed.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("bands").alias("bands"))
     path = shared_folder(spark, "links")
     tile_links(tiles_of(reps, block), docs, key, text, size, bands, rows, threshold).write.parquet(path)
     links = spark.read.parquet(path)
@@ -270,9 +276,9 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     repeated = decided.groupBy("__id").count().where("count > 1").select("__id")
     gone = decided.where("__out").select("__id")
     if repeated.isEmpty():
-        return docs.join(gone, F.col(key) == F.col("__id"), "left_anti")
+        return docs.join(gone.hint("merge"), F.col(key) == F.col("__id"), "left_anti")  # as large as the input may make it: never broadcast
     size, (bands, rows) = how.get("size", 5), bands_for(how.get("threshold", 0.8), how.get("recall", 0.9999))
-    single = docs.join(gone.unionByName(repeated), F.col(key) == F.col("__id"), "left_anti")
+    single = docs.join(gone.unionByName(repeated).hint("merge"), F.col(key) == F.col("__id"), "left_anti")
 
     def nodes(texts):
         s = sketcher(size, bands, rows)
