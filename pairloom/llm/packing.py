@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import slices
+from pairloom.llm.common import give_back, slices
 from pairloom.llm.tokens import encoder
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -81,7 +81,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     def packed(batches):
         from pyspark import TaskContext
 
-        first, encode = TaskContext.get().partitionId() << 32, encoder(tokenizer)
+        first, encode = TaskContext.get().partitionId() << 32, encoder(tokenizer, cached=150_000)
         held: list[tuple] = []
         kind = None
 
@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             kind = ids.type
-            for a, b in slices(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)), 12_000_000, 1 << 16):
+            for a, b in slices(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)), 4_000_000, 1 << 16):
                 sizes = encode.lengths([x or "" for x in texts.slice(a, b - a).to_pylist()]) + 1
                 for i, n in zip(ids.slice(a, b - a).to_pylist(), sizes.tolist(), strict=True):
                     held += [(i, k, s, min(longest, n - s)) for k, s in enumerate(range(0, n, longest))]
@@ -106,6 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
                         held = held[block:]
         if held:
             yield placed(held)
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key), F.col(text).alias("__text"))

@@ -116,6 +116,6 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, special_as_text: bool = True) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = True, cached: int = 400_000) -> PieceEncoder:
     """One for each worker process and file."""
-    return PieceEncoder(path, special_as_text)
+    return PieceEncoder(path, special_as_text, cached)
