@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: Runs of letters and digits; the callers lower-case first.
 WORD = re.compile(r"[^\W_]+")
 #: Characters of text that a function gets at once, so that its arrays stay small beside very long texts.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
