@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.config import Config
 from pairloom.functions.vocab import clean_vocabulary
 from pairloom.ml import classifiers
 from pairloom.operators import blocking, evaluation, relational, tfidf
@@ -26,6 +27,36 @@ def test_names_and_overlap(spark):
         assert got == ({(1, 1, 2), (1, 2, 1)} if most != 1 else {(1, 1, 2)})
 
 
+def test_rows_without_a_price_are_candidates(spark):
+    names = [["a", "b", "c", "d"], ["a", "b"], ["b", "a", "x", "y", "z"], ["a", "p", "q", "r"], ["x"], []]
+    prices = [100.0, 30.0, 0.0, None, float("nan")]
+    rows = [(10 * i + j, p, n) for i, p in enumerate(prices) for j, n in enumerate(names)]
+    left, right = (spark.createDataFrame(rows, f"id{k} int, price{k} double, name{k} array<string>") for k in (1, 2))
+    priced = lambda p: p is not None and p > 0
+
+    def may(p1, n1, p2, n2):
+        shared = len(set(n1) & set(n2))
+        window = not priced(p2) or priced(p1) and 0.5 * p1 <= p2 <= 2 * p1
+        return window and shared >= 1 and (min(len(n1), len(n2)) < 4 or shared >= 2)
+
+    want = sorted((a, b) for a, p1, n1 in rows for b, p2, n2 in rows if may(p1, n1, p2, n2))
+    found = blocking.candidate_pairs(left, right)
+    assert sorted(tuple(r) for r in found.select("id1", "id2").collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    free = blocking.shared_name_pairs(left, right.where("price2 = 0"), Config(name_overlap=0))
+    assert free.where("id1 = 5").count() == len(names)
+
+
+def test_match_finds_targets_without_a_price(spark):
+    product = lambda i, price: (i, "acme steel kettle large", price)
+    left = matching.as_products(spark.createDataFrame([product("s", 10.0)], "id string, name string, price double"))
+    right = matching.as_products(spark.createDataFrame([product("near", 11.0), product("far", 99.0), product("null", None), product("zero", 0.0)], "id string, name string, price double"))
+    model = classifiers.Model("LinearRegression", [], [], [], threshold=0.5)
+    model.score = lambda df: df.withColumn("score", F.lit(1.0))
+    assert {r["id2"] for r in matching.match(None, left, right, model, clean_vocabulary()).collect()} == {"near", "null", "zero"}
+
+
 def test_weights(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, ["b"]), (4, ["b"])], "k int, t array<string>")
     w = {(r["k"], r["term"]): r["w"] for r in tfidf.weights(docs, "k", "t").collect()}
