@@ -14,6 +14,8 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as X
@@ -21,24 +23,28 @@ from pyspark.ml import regression as R
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.config import Config
 from pairloom.operators import evaluation
 from pairloom.operators.relational import hash_split, weighted_sample
+from pairloom.sources import writers
 
 #: Default settings of each model.
 DEFAULTS = {
     "LinearRegression": {},
     "LogisticRegression": {"maxIter": 50, "regParam": 0.0},
-    "SupportVectorMachine": {"degree": 3, "maxIter": 50, "regParam": 0.01},
+    "SupportVectorMachine": {"degree": 5, "maxIter": 100, "regParam": 0.01},
     "DecisionTree": {"impurity": "entropy", "maxDepth": 10, "minInstancesPerNode": 3},
     "RandomForest": {"impurity": "entropy", "maxDepth": 10, "numTrees": 100, "minInstancesPerNode": 8},
     "GradientBoosting": {"maxIter": 50},
     "NeuralNetwork": {"hidden": (10, 10), "maxIter": 250},
     "Bagging": {"models": 10, "share": 0.2, "hidden": (10, 10), "maxIter": 100},
     "Boosting": {"models": 15, "share": 0.2, "hidden": (10, 10), "maxIter": 100},
-    "AdaBoost": {"models": 50, "maxIter": 20},
+    "AdaBoost": {"models": 400, "maxIter": 20},
 }
+#: Models whose rows are weighted so that both classes count alike.
+BALANCED = ("LogisticRegression", "SupportVectorMachine", "DecisionTree", "RandomForest")
 
 
 @dataclass
@@ -59,13 +65,26 @@ class Model:
             value = F.col("prediction")
         elif self.kind == "SupportVectorMachine":
             value = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
-        elif self.kind == "AdaBoost":
-            value = F.signum(vector_to_array("probability")[1] - 0.5)
         else:
             value = vector_to_array("probability")[1]
         return out.withColumn(name, value).drop(*(c for c in out.columns if c not in df.columns))
 
+    def boosted(self, df: DataFrame) -> DataFrame:
+        """df with `score` of AdaBoost: its parts share all stages but the last, a linear one, so one product gives all their signs."""
+        last = [part.stages[-1] for part in self.parts]
+        weights, intercepts, alphas = np.array([m.coefficients.toArray() for m in last]).T, np.array([m.intercept for m in last]), np.array(self.alphas)
+
+        @F.pandas_udf(T.DoubleType())
+        def margin(rows: pd.Series) -> pd.Series:
+            return pd.Series(np.sign(np.stack(rows) @ weights + intercepts) @ alphas if len(rows) else [], dtype=float)
+
+        out = PipelineModel(self.parts[0].stages[:-1]).transform(df)
+        out = out.withColumn("score", 1 / (1 + F.exp(-2 * margin(vector_to_array(last[0].getFeaturesCol())))))
+        return out.select(*df.columns, "score")
+
     def score(self, df: DataFrame) -> DataFrame:
+        if self.kind == "AdaBoost":
+            return self.boosted(df).withColumn("predicted_match", F.when(F.col("score") < self.threshold, 0).otherwise(1))
         out = df
         for i, part in enumerate(self.parts):
             out = self.raw(out, part, f"__s{i}")
@@ -118,11 +137,11 @@ def _estimator(kind: str, inputs: str, width: int, label: str, p: dict) -> list:
     if kind == "LogisticRegression":
         return [C.LogisticRegression(**common, weightCol="weight", **pick("maxIter", "regParam", "elasticNetParam"))]
     if kind == "SupportVectorMachine":
-        return [X.PolynomialExpansion(inputCol=inputs, outputCol="__x", degree=p["degree"]), C.LinearSVC(featuresCol="__x", labelCol=label, **pick("maxIter", "regParam"))]
+        return [X.PolynomialExpansion(inputCol=inputs, outputCol="__x", degree=p["degree"]), C.LinearSVC(featuresCol="__x", labelCol=label, weightCol="weight", **pick("maxIter", "regParam"))]
     if kind == "DecisionTree":
-        return [C.DecisionTreeClassifier(**common, seed=1, **pick("impurity", "maxDepth", "minInstancesPerNode"))]
+        return [C.DecisionTreeClassifier(**common, weightCol="weight", seed=1, **pick("impurity", "maxDepth", "minInstancesPerNode"))]
     if kind == "RandomForest":
-        return [C.RandomForestClassifier(**common, seed=1, **pick("impurity", "maxDepth", "numTrees", "minInstancesPerNode"))]
+        return [C.RandomForestClassifier(**common, weightCol="weight", seed=1, **pick("impurity", "maxDepth", "numTrees", "minInstancesPerNode"))]
     if kind == "GradientBoosting":
         return [C.GBTClassifier(**common, seed=1, **pick("maxIter", "maxDepth"))]
     if kind in ("NeuralNetwork", "Bagging", "Boosting"):
@@ -154,30 +173,40 @@ def fit(df: DataFrame, kind: str, features: list[str], label: str = "match", pca
             model.parts.append(pipeline(kind, drawn.drop("score", "predicted_match")))
             model.alphas.append(1.0)
         return model
-    data = class_weights(df, label) if kind == "LogisticRegression" else df
+    data = class_weights(df, label) if kind in BALANCED else df
     return Model(kind, features, [pipeline(kind, data)], [1.0], True, threshold, p)
 
 
 def _adaboost(df: DataFrame, stages: list, inputs: str, features: list[str], p: dict, threshold: float) -> Model:
-    """SAMME for two classes. Weights follow from all earlier parts, so that each round is one pass over the rows."""
+    """SAMME for two classes, as many rounds as `models` unless a part has no error or no better one than chance.
+
+    Each row's weight (1 on average) is carried in a written column, so that a round reads short rows whatever came
+    before it; only the last round's rows are kept.
+    """
     model = Model("AdaBoost", features, [], [], False, threshold, p)
-    sign = 2 * F.col("__label") - 1
-    for _ in range(p["models"]):
-        data = df
-        margin = F.lit(0.0)
-        for i, (part, alpha) in enumerate(zip(model.parts, model.alphas, strict=True)):
-            data = model.raw(data, part, f"__s{i}")
-            margin = margin + alpha * F.col(f"__s{i}") * sign
-        data = data.withColumn("weight", F.exp(-margin)).drop(*(f"__s{i}" for i in range(len(model.parts))))
-        learner = C.LogisticRegression(featuresCol=inputs, labelCol="__label", weightCol="weight", maxIter=p["maxIter"])
-        part = Pipeline(stages=[*stages, learner]).fit(data)
-        at = model.raw(data, part, "__s").agg((F.sum(F.when(F.col("__s") * sign <= 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("e")).first()["e"]
-        if at is None or at >= 0.5:
-            break
-        model.parts.append(part)
-        model.alphas.append(0.5 * math.log((1 - max(at, 1e-6)) / max(at, 1e-6)))
-        if at < 1e-6 or len(model.parts) >= 8:  # what is left of the gain is small beside a pass for each part
-            break
+    ahead = Pipeline(stages=stages).fit(df)
+    learner = C.LogisticRegression(featuresCol=inputs, labelCol="__label", weightCol="weight", maxIter=p["maxIter"])
+    hit = F.signum(vector_to_array("probability")[1] - 0.5) * (2 * F.col("__label") - 1)
+    rows = writers.materialise(ahead.transform(df).select(inputs, "__label", F.lit(1.0).alias("weight")), "boosting")
+    try:
+        for i in range(p["models"]):
+            fitted = learner.fit(rows)
+            part = PipelineModel([*ahead.stages, fitted])
+            tried = fitted.transform(rows).select(inputs, "__label", "weight", hit.alias("__hit"))
+            at = tried.agg((F.sum(F.when(F.col("__hit") <= 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("e")).first()["e"]
+            if at is None or at >= 0.5:
+                break
+            alpha = 0.5 * math.log((1 - max(at, 1e-6)) / max(at, 1e-6))
+            model.parts.append(part)
+            model.alphas.append(alpha)
+            if at < 1e-6:
+                break
+            if i < p["models"] - 1:
+                mean = at * math.exp(alpha) + (1 - at) * math.exp(-alpha)
+                old, rows = rows, writers.materialise(tried.select(inputs, "__label", (F.col("weight") * F.exp(-alpha * F.col("__hit")) / mean).alias("weight")), "boosting")
+                writers.discard(old)
+    finally:
+        writers.discard(rows)
     if not model.parts:
         model.parts, model.alphas = [part], [1.0]
     return model

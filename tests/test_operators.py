@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,37 @@ def test_classifiers_separate(spark, kind):
     assert evaluation.metrics(model.score(rows)).first()["f1"] == 1
 
 
+def test_adaboost_makes_all_its_models(spark):
+    x, names = np.random.default_rng(1).normal(size=(120, 6)), [f"x{i}" for i in range(6)]
+    rows = spark.createDataFrame([(*r, int(r[0] + r[1] ** 3 - r[2] > 0)) for r in x.tolist()], ", ".join(f"{n} double" for n in names) + ", match int")
+    model = classifiers.fit(rows, "AdaBoost", names, models=10, maxIter=1)
+    assert len(model.parts) == len(model.alphas) == 10
+    # each round's weights, computed anew from all parts before it
+    data = rows.toPandas()
+    x, sign, weight = data[names].to_numpy(), 2 * data["match"].to_numpy() - 1, np.ones(len(data))
+    margin = np.zeros(len(data))
+    for part, alpha in zip(model.parts, model.alphas, strict=True):
+        said = np.sign(x @ part.stages[-1].coefficients.toArray() + part.stages[-1].intercept)
+        error = weight[said != sign].sum() / weight.sum()
+        assert alpha == pytest.approx(0.5 * np.log((1 - error) / error))
+        margin += alpha * said
+        weight = np.exp(-margin * sign)
+    assert [r["score"] for r in model.score(rows).collect()] == pytest.approx(list(1 / (1 + np.exp(-2 * margin))))
+
+
+@pytest.mark.parametrize("kind", ["DecisionTree", "RandomForest", "SupportVectorMachine"])
+def test_classes_weigh_alike(spark, kind):
+    # where a is 1, one row in four is a match: rare among all, but more than its share of the classes
+    rows = spark.createDataFrame([(float(k >= 180), int(k >= 195)) for k in range(200)] * 2, "a double, match int")
+    model = classifiers.fit(rows, kind, ["a"], **({"numTrees": 5} if kind == "RandomForest" else {}))
+    assert {(r["a"], r["predicted_match"]) for r in model.score(rows).collect()} == {(0.0, 0), (1.0, 1)}
+
+
+def test_defaults_are_the_references():
+    assert classifiers.DEFAULTS["AdaBoost"]["models"] == 400
+    assert [classifiers.DEFAULTS["SupportVectorMachine"][n] for n in ("degree", "maxIter")] == [5, 100]
+
+
 def test_model_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(float(x), int(x > 5)) for x in range(20)], "a double, match int")
     model = classifiers.fit(rows, "LogisticRegression", ["a"])
