@@ -555,25 +555,29 @@ def specification_similarity(spark, sf_dir):
     return features.specification_matches(features.pair_frame(ids, tokens, tokens))
 
 
-def _vectors(spark, sf_dir):
+def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """vec_id, match and all components of the embeddings, as many as the longest has, and the components' names."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.col("label") < 5).cast("int").alias("match"), *(F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"x{i}") for i in range(16)))
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(width)]
+    return e.select("vec_id", (F.col("label") < 5).cast("int").alias("match"), *(F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(n) for i, n in enumerate(names))), names
 
 
 def _training(kind: str, **params):
     def run(spark, sf_dir):
-        rows = _vectors(spark, sf_dir).cache()
-        model = classifiers.fit(rows, kind, [f"x{i}" for i in range(16)], **params)
+        rows, names = _vectors(spark, sf_dir)
+        rows = rows.cache()
+        model = classifiers.fit(rows, kind, names, **params)
         return evaluation.metrics(model.score(rows))
 
     return run
 
 
 for _name, _kind, _params in (
-    ("train_linear_regression", "LinearRegression", {}), ("train_logistic_regression", "LogisticRegression", {}), ("train_svm", "SupportVectorMachine", {"degree": 2}),
-    ("train_decision_tree", "DecisionTree", {}), ("train_random_forest", "RandomForest", {"numTrees": 20}), ("train_neural_network", "NeuralNetwork", {"maxIter": 60}),
-    ("train_bagging", "Bagging", {"models": 3, "share": 0.5, "maxIter": 40}), ("train_boosting", "Boosting", {"models": 3, "share": 0.5, "maxIter": 40}),
-    ("train_adaboost", "AdaBoost", {"models": 4}), ("train_gradient_boosting", "GradientBoosting", {"maxIter": 10}), ("train_with_pca", "LogisticRegression", {"pca": 10}),
+    ("train_linear_regression", "LinearRegression", {}), ("train_logistic_regression", "LogisticRegression", {}), ("train_svm", "SupportVectorMachine", {}),
+    ("train_decision_tree", "DecisionTree", {}), ("train_random_forest", "RandomForest", {}), ("train_neural_network", "NeuralNetwork", {}),
+    ("train_bagging", "Bagging", {}), ("train_boosting", "Boosting", {}), ("train_adaboost", "AdaBoost", {}), ("train_gradient_boosting", "GradientBoosting", {}),
+    ("train_with_pca", "LogisticRegression", {"pca": 10}),
 ):
     QUERIES[_name] = _training(_kind, **_params)
 

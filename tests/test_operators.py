@@ -179,3 +179,22 @@ def test_catalog_names():
 
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert clean_vocabulary().units["kg"] == (1000.0, "g")
+
+
+def test_training_queries_do_the_whole_job(spark, monkeypatch):
+    from pairloom.plans import catalog
+
+    asked = {}
+
+    def fit(rows, kind, names, **params):
+        asked[kind, *params] = (names, params)
+        return classifiers.Model("none", [], [], [])
+
+    monkeypatch.setattr(classifiers, "fit", fit)
+    monkeypatch.setattr(classifiers.Model, "score", lambda self, df: df.withColumn("predicted_match", F.col("match")))
+    for name in catalog.QUERIES:
+        if name.startswith("train_") and name != "train_test_split":
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {kind for kind, *_ in asked} == set(classifiers.DEFAULTS)
+    for (kind, *more), (names, params) in asked.items():
+        assert names == [f"x{i}" for i in range(64)] and params == ({"pca": 10} if more else {})
