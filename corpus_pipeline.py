@@ -31,7 +31,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_file())
+    return packing.pack_documents(docs, tokenizer_file(), special_as_text=False)
 
 
 STAGES = [("language", identified), ("quality", good), ("near_copies", distinct), ("decontamination", decontaminated), ("packing", packed)]

@@ -71,7 +71,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, quadratic
     return best[1:] if len(best) > 1 else ([], [], [])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, quadratic: float = 16_384.0, block: int = BLOCK) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, quadratic: float = 16_384.0, block: int = BLOCK, special_as_text: bool = True) -> DataFrame:
     """key, piece, start (its first token in the document), n_tokens, bin_id, bin_offset, capacity of every piece.
 
     A document's tokens are those of its text and one end token. bin_id: the task's number, then the bin's in the task.
@@ -81,7 +81,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     def packed(batches):
         from pyspark import TaskContext
 
-        first, encode = TaskContext.get().partitionId() << 32, encoder(tokenizer, cached=150_000)
+        first, encode = TaskContext.get().partitionId() << 32, encoder(tokenizer, special_as_text, cached=150_000)
         held: list[tuple] = []
         kind = None
 

@@ -23,7 +23,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), special_as_text=False)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.token_output import token_index, write_token_files
 
     path = shared_folder(spark, "tokens")
-    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file(), special_as_text=False)
     return token_index(spark, path)
 
 

@@ -26,7 +26,7 @@ FILE_SCHEMA = "doc_id long, ids array<int>, file int, before long"
 ENCODE_CHARS = 12_000_000
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 2000, bloom_fpp: float = 0.01) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 2000, bloom_fpp: float = 0.01, special_as_text: bool = True) -> None:
     """Encode every text, append end_id and write one ORC file for each range of ids.
 
     The texts are dealt out by range of (id, text hash, position), so that even rows of one id spread over files;
@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encoded(batches):
         from pyspark import TaskContext
 
-        file, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
+        file, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer, special_as_text).encode
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)), ENCODE_CHARS, 1 << 16):

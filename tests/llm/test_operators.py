@@ -115,6 +115,24 @@ def test_html_odd_pages(spark):
 # Token files
 
 
+def test_special_tokens_are_the_tokenizer_files_own(spark, tmp_path):
+    import corpus_pipeline
+    from pairloom.llm import queries
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_file())
+    special = next(t.content for t in fresh.get_added_tokens_decoder().values() if t.special)
+    texts = [f"a {special} b", f"{special}{special}c  d", f"no such token {special[:-1]} here", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] != tokens.encoder(tokenizer_file()).tokenizer.encode(texts[0], add_special_tokens=False).ids
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op4_token_output(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in enumerate(want)}
+    for rows in (queries.op2_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: r["n_tokens"] for r in rows.collect()} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+
+
 def test_encoder_equals_the_library():
     e = tokens.encoder(tokenizer_file())
     texts = ["", " ", "  a", "a  b\n c", "a\n\n b é½² \x00 it's I'll x'", "日本 語 12 34.5", "\n", "x\n", "\nx y\nz", "x \ny", "a\tb\nc", "x,\n(y)\n", "a\r\nb", "tail ", "tail \n", "<|endoftext|> x", "Ünï çödé*** %%%word!! |"]
