@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -62,21 +63,38 @@ def give_back() -> None:
         trim(0)
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column stands: the first of exactly this name, else the first whose name differs in case only."""
+    exact = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not exact:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return exact[0]
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only these columns, under new names: pick(docs, key="doc_id"). Taken by place, so no name of another column matters."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"c{place_of(df, old)}").alias(new) for new, old in columns.items()))
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], fn: Callable[[list[str]], list], where: Callable[[list], list[bool]] | None = None) -> DataFrame:
     """The columns `keep` of df, then those that `fn` makes from a list of texts (null texts arrive as "").
 
     fn returns one list or array for each field. With `where`, only rows stay for which it says so, and the new
-    columns are left out: a filter that keeps the frame's own columns. One pass, no shuffle, Arrow batches.
+    columns are left out: a filter that keeps the frame's own columns. One pass, no shuffle, Arrow batches. Columns are
+    passed by place under names of their own, so that any names, dots and twins in upper case too, are kept.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = T.StructType([df.schema[c] for c in keep])
-    out = kept if where else T.StructType([*kept.fields, *fields])
+    places = list(range(len(df.columns))) if keep == df.columns else [place_of(df, c) for c in keep]
+    given = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{p}").alias(f"k{i}") for i, p in enumerate(places)), F.col(f"c{place_of(df, text)}").alias("text"))
+    kept = T.StructType(given.schema.fields[:-1])
+    out = kept if where else T.StructType([*kept.fields, *(T.StructField(f"m{i}", f.dataType) for i, f in enumerate(fields))])
     names = [f.name for f in out.fields]
 
     def run(batches):
         schema = to_arrow_schema(out)
-        types = [schema.field(i).type for i in range(len(keep) * (where is None), len(schema))]
+        types = [schema.field(i).type for i in range(len(kept) * (where is None), len(schema))]
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
@@ -91,36 +109,65 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names)
         give_back()
 
-    given = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    return given.mapInArrow(run, out)
+    return given.mapInArrow(run, out).toDF(*(df.columns[p] for p in places), *(f.name for f in fields if not where))
 
 
 def sample_keys(rows: DataFrame, label: str, most: int, fold: int, held_out: int, key: str = "doc_id") -> DataFrame:
-    """At most `most` (__key, __label) rows of non-null key and label outside the held-out fold: those of smallest id hash.
+    """At most `most` distinct (key, label) rows of non-null key and label outside the held-out fold: those of smallest id hash.
 
-    Two narrow passes: a count, then the rows under a hash threshold that leaves some more than `most`, so that
-    no task sorts more than about that many at any input size.
+    Two narrow passes: a count, then the rows under a hash threshold that leaves some more than `most`, so that no task
+    sorts more than about that many at any input size; rows that repeat are combined before they are moved.
     """
-    able = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (split_mod(F.col(key), fold) != held_out)).select(F.col(key).alias("__key"), F.col(label).alias("__label"))
+    able = pick(rows, key=key, label=label).where(F.col("label").isNotNull() & F.col("key").isNotNull() & (split_mod(F.col("key"), fold) != held_out))
     n, buckets = able.count(), 1 << 30
     share = min(buckets, int(buckets * (most + 6 * most**0.5) / max(n, 1)) + 1)
-    hashed = F.xxhash64("__key")
-    return able.where(F.pmod(hashed, F.lit(buckets)) < share).orderBy(hashed, "__key", "__label").limit(most)
+    hashed = F.xxhash64("key")
+    return able.where(F.pmod(hashed, F.lit(buckets)) < share).groupBy("key", "label").agg(F.lit(1).alias("one")).select("key", "label").orderBy(hashed, "key", "label").limit(most)
 
 
 def sample_texts(docs: DataFrame, rows: DataFrame, label: str, most: int, fold: int, held_out: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__key, __label, __text of at most `most` labelled documents. Null texts are empty; keys without a document are passed over."""
-    few = docs.sparkSession.createDataFrame((picked := sample_keys(rows, label, most, fold, held_out, key)).collect(), picked.schema)
-    return docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(few), "__key")
+    """key, label, text of at most `most` labelled documents, written once in the shared folder.
 
+    Null texts are empty; keys without a document are passed over; of several texts under one key the smallest is taken.
+    """
+    spark = docs.sparkSession
+    picked = sample_keys(rows, label, most, fold, held_out, key)
+    few = spark.createDataFrame(picked.collect(), picked.schema)
+    found = pick(docs, key=key, text=text).join(F.broadcast(few), "key").groupBy("key", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    path = shared_folder(spark, "sample")
+    found.repartition(max(2, spark.sparkContext.defaultParallelism)).write.parquet(path)
+    return spark.read.parquet(path)
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (tests), a temporary one is set."""
+
+@functools.lru_cache(maxsize=1)
+def local_folder() -> str:
     import tempfile
+
+    return f"file://{tempfile.mkdtemp(prefix='pairloom-')}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a local session (as in tests)
+    takes a temporary folder; on a cluster, where executors would write to their own disks, this is an error."""
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='pairloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        top = local_folder()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame, written in a new shared folder and read again, and that folder: cuts the lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

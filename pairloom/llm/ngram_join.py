@@ -3,11 +3,17 @@
 1. Documents with the same n-gram set are one node from the start: copies are counted, never compared or paired.
 2. Bands of MinHash values are shuffled by their hash. Bands and rows are chosen for a target recall at the threshold.
    Buckets that hold the same nodes are one bucket.
-3. Nodes of a bucket meet in tiles of bounded size: a large bucket is cut into blocks, and each two blocks meet in a
-   task of their own. A tile compares full n-gram sets, each two nodes in the first band they share and nowhere else.
-4. A tile gives one row per node: the links it found (weighted by copies) and the smallest node that it is joined with.
+3. The nodes of a bucket of bounded rows and bytes meet in one task, which compares full n-gram sets, each two nodes in
+   the first band they share and nowhere else.
+4. Larger ("hot") buckets overlap much, as a group of near copies makes one in every band. Each of their nodes has one
+   home, the largest hot bucket it is in, and homes are cut into blocks of bounded rows and bytes. Two blocks that meet in
+   some hot bucket meet in one task, once for all bands, where pairs that share any hot bucket are compared. A text is
+   moved once for each block that its own one meets.
+5. A task gives one row per node: the links it found (weighted by copies) and the smallest node that it is joined with.
    Pairs are never written out. Links are summed; classes are the connected components.
 
+The number of links of n near copies asks for n * n / 2 comparisons; blocks make that many in tasks of one size.
+
 Defined results: documents without a word (null texts too) and rows without an id are linked to nothing and are classes
 of their own (class_id is their id); a text shorter than an n-gram has one of all its words; rows that repeat, also
 under one id, are copies and count as links; an empty table gives no rows; other columns are not read.
@@ -24,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import give_back, map_texts, shared_folder, slices
+from pairloom.llm.common import give_back, map_texts, pick, place_of, removed, slices, written
 from pairloom.llm.shingles import mix, shingle_hashes
 
-#: Nodes of a block; a tile holds two blocks at most.
-BLOCK = 192
+#: Nodes and bytes of text of a block, about; a tile holds two blocks at most.
+BLOCK, BLOCK_BYTES = 768, 8 << 20
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -85,8 +91,8 @@ def sketcher(size: int, bands: int, rows: int) -> Sketcher:
     return Sketcher(size, bands, rows)
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """key, node (null without a word), mark (the node's first eight bytes), bands."""
+def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """key, node (null without a word), mark (the node's first eight bytes), chars, bands of documents (key, text)."""
 
     def sign(texts):
         s = sketcher(size, bands, rows)
@@ -94,24 +100,41 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows
         full = [x for x in sets if len(x)]
         made = iter(s.band_hashes(full).tolist())
         nodes = [s.node(x) for x in sets]
-        return [nodes, [n and s.mark(n) for n in nodes], [next(made) if len(x) else None for x in sets]]
+        return [nodes, [n and s.mark(n) for n in nodes], [len(t) for t in texts], [next(made) if len(x) else None for x in sets]]
+
+    return map_texts(docs, "text", ["key"], [T.StructField("node", T.BinaryType()), T.StructField("mark", T.LongType()), T.StructField("chars", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], sign)
 
-    return map_texts(docs, text, [key], [T.StructField("node", T.BinaryType()), T.StructField("mark", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], sign)
 
+def buckets_of(reps: DataFrame, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """All (rep, mark, copies, chars, band, bucket), and the buckets in which nodes meet: bucket, held, parts.
 
-def tiles_of(reps: DataFrame, block: int) -> DataFrame:
-    """rep, mark, copies, tile, band, side: the tiles in which each node meets others. side: -1 if it is alone with its block."""
-    placed = reps.select("rep", "mark", "copies", F.posexplode("bands").alias("band", "bucket"))
-    buckets = placed.groupBy("bucket").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("mark")).alias("who"), F.min("band").alias("first"))
+    parts: into how many blocks a bucket is cut as a home; above 1 the bucket is hot.
+    """
+    placed = reps.select("rep", "mark", "copies", "chars", F.posexplode("bands").alias("band", "bucket"))
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("held"), F.sum("chars").alias("bytes"), F.bit_xor(F.xxhash64("mark")).alias("who"), F.min("band").alias("first"))
     # equal buckets share their members in every band: the first one stands for all
-    kept = buckets.where("held > 1").groupBy("held", "who").agg(F.min(F.struct("first", "bucket")).alias("b")).select("b.bucket", "held")
-    blocks = F.ceil(F.col("held") / block).cast("int")
-    own = F.pmod(F.xxhash64("mark", "bucket"), F.col("blocks")).cast("int")
-    met = placed.join(kept, "bucket").withColumn("blocks", blocks).withColumn("own", own)
-    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    return met.select("rep", "mark", "copies", tile.alias("tile"), F.col("band").cast("int").alias("band"), side.cast("int").alias("side"))
+    kept = buckets.where("held > 1").groupBy("held", "who").agg(F.min(F.struct("first", "bucket")).alias("b"), F.max("bytes").alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("held") / block, F.when(F.col("held") > 2, F.col("bytes") / block_bytes).otherwise(F.lit(1.0)))).cast("int")
+    return placed, kept.select("b.bucket", "held", parts.alias("parts"))
+
+
+def tiles_of(placed: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, mark, copies, tile, band, side) of small buckets, and the same of hot ones.
+
+    band: the one of the small bucket, -1 in hot tiles. side: 0 or 1, the block's; -1 if a tile is one block with itself.
+    """
+    met = placed.join(kept, "bucket")
+    small = met.where("parts = 1").select("rep", "mark", "copies", F.xxhash64("bucket").alias("tile"), F.col("band").cast("int").alias("band"), F.lit(-1).alias("side"))
+    hot = met.where("parts > 1").select("rep", "mark", "copies", "bucket", "held", "parts")
+    home = hot.groupBy("rep", "mark").agg(F.max(F.struct("held", "bucket", "parts")).alias("h"), F.max("copies").alias("copies"))
+    own = home.select("rep", "mark", "copies", F.xxhash64("h.bucket", F.pmod(F.xxhash64("mark", "h.bucket"), F.col("h.parts"))).alias("own"))
+    # the blocks of each hot bucket, and of those each two that meet
+    there = hot.select("rep", "mark", "bucket").join(own.select("rep", "mark", "own"), ["rep", "mark"]).select("bucket", "own").distinct()
+    two = there.join(there.withColumnRenamed("own", "other"), "bucket").where("own <= other").select("own", "other").distinct()
+    tile = F.xxhash64("own", "other")
+    ends = two.select(F.col("own").alias("block"), tile.alias("tile"), F.when(F.col("own") == F.col("other"), -1).otherwise(0).alias("side")).unionByName(two.where("own < other").select(F.col("other").alias("block"), tile.alias("tile"), F.lit(1).alias("side")))
+    large = own.join(ends, F.col("own") == F.col("block")).select("rep", "mark", "copies", "tile", F.lit(-1).alias("band"), "side")
+    return small, large
 
 
 def common_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -134,25 +157,35 @@ def common_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return out
 
 
-def links_in_tile(nodes: list[bytes], copies: np.ndarray, sides: np.ndarray, band: int, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[bytes, int, int, bytes]]:
-    """(node, linked documents, linked nodes, smallest node it is joined with) of each node that has a link here."""
-    sizes = np.array([len(s) for s in sets], np.float64)
-    both = common_counts(sets).astype(np.float64)
-    link = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+def links_in_tile(nodes: list[bytes], copies: np.ndarray, sides: np.ndarray, band: int, bands: np.ndarray, hot: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[bytes, int, int, bytes]]:
+    """(node, linked documents, linked nodes, smallest node it is joined with) of each node that has a link here.
+
+    band: of a small bucket, or -1 in a hot tile. hot: of each node a bit for each band in which it is in a hot bucket.
+    """
+    sizes = np.array([len(s) for s in sets], np.float32)
+    both = common_counts(sets)
+    link = both >= np.float32(threshold) * (sizes[:, None] + sizes[None, :] - both) - 1e-3
+    near = np.nonzero(link)  # the border is decided in double precision
+    exact = both[near].astype(np.float64)
+    link[near] = exact >= threshold * (sizes[near[0]].astype(np.float64) + sizes[near[1]] - exact) - 1e-9
     np.fill_diagonal(link, False)
     if sides[0] >= 0:
         link &= sides[:, None] != sides[None, :]
-    for k in range(band):  # met before
-        link &= bands[:, k][:, None] != bands[:, k][None, :]
+    shared = np.zeros_like(link)  # pairs that meet elsewhere, or, in a hot tile, those that meet in a hot bucket
+    for k in range(bands.shape[1]):
+        if k < band or ((hot >> k) & 1).any():
+            same = bands[:, k][:, None] == bands[:, k][None, :]
+            if k >= band:
+                same &= (((hot >> k) & 1) == 1)[:, None]
+            shared |= same
+    link &= shared if band < 0 else ~shared
     documents, others = link @ copies, link.sum(axis=1)
-    root = np.arange(len(nodes))
     order = np.argsort(np.array(nodes, dtype="S16"), kind="stable")
-    rank = np.empty(len(nodes), np.int64)
+    rank = np.empty(len(nodes), np.int32)
     rank[order] = np.arange(len(nodes))
     root = rank.copy()
     while True:  # smallest rank within reach
-        near = np.where(link, root[None, :], len(nodes)).min(axis=1)
-        new = np.minimum(root, near)
+        new = np.minimum(root, np.where(link, root[None, :], np.int32(len(nodes))).min(axis=1))
         new = np.minimum(new, new[order[new]])
         if (new == root).all():
             break
@@ -160,12 +193,12 @@ def links_in_tile(nodes: list[bytes], copies: np.ndarray, sides: np.ndarray, ban
     return [(nodes[i], int(documents[i]), int(others[i]), nodes[order[root[i]]]) for i in np.flatnonzero(others)]
 
 
-def tile_links(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, bands: int, per_band: int, threshold: float) -> DataFrame:
+def tile_links(rows: DataFrame, docs: DataFrame, size: int, bands: int, per_band: int, threshold: float) -> DataFrame:
     """node, documents, nodes, root for each node and tile in which it has links.
 
-    Tiles get texts, which are smaller than n-gram sets when shuffled, and make the sets of their nodes anew.
+    rows: rep, mark, copies, tile, band, side, hot. Tiles get texts, which are smaller than n-gram sets when shuffled, and
+    make the sets of their nodes anew.
     """
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def compare(batches):
         s, held, tile = sketcher(size, bands, per_band), [], None
@@ -174,13 +207,13 @@ def tile_links(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int,
             if len(held) < 2:
                 return
             rows = {}  # repeated rows of one id come twice, other texts under a repeated id have another mark
-            for own, (mark, copies, band, side, _) in zip(s.sets([r[4] for r in held]), held, strict=True):
+            for own, (mark, copies, band, side, hot, _) in zip(s.sets([r[-1] for r in held]), held, strict=True):
                 node = s.node(own)
                 if node and s.mark(node) == mark:
-                    rows[node] = (copies, band, side, own)
+                    rows[node] = (copies, band, side, hot, own)
             if len(rows) > 1:
-                copies, band, sides, sets = zip(*rows.values(), strict=True)
-                yield from links_in_tile(list(rows), np.array(copies, np.float64), np.array(sides), band[0], s.band_hashes(list(sets)), list(sets), threshold)
+                copies, band, sides, hot, sets = zip(*rows.values(), strict=True)
+                yield from links_in_tile(list(rows), np.array(copies, np.float64), np.array(sides), band[0], s.band_hashes(list(sets)), np.array(hot, np.int64), list(sets), threshold)
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "documents", "nodes", "root"])
@@ -201,91 +234,94 @@ def tile_links(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int,
         held = found = []
         give_back()
 
-    met = rows.join(texts, "rep").select("tile", "mark", "copies", "band", "side", "text")
+    texts = docs.where(F.col("key").isNotNull()).select(F.col("key").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    met = rows.join(texts, "rep").select("tile", "mark", "copies", "band", "side", "hot", "text")
     return met.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "node binary, documents long, nodes long, root binary")
 
 
-def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """node, root (the smallest node of its component) for edges node-root.
+def components(edges: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
+    """node, root (the smallest node of its component) for edges node-root, and the folder that holds them.
 
     Labels move along edges by the minimum, and a label's own label replaces it; every round is written to the shared
     folder, which cuts the lineage, and joins and aggregates rows of two keys each. Rounds grow with the logarithm of a
-    component's width.
+    component's width. What a round has replaced is deleted.
     """
-    path = shared_folder(spark, "edges")
-    edges.where("node <> root").distinct().write.parquet(path)
-    edges = spark.read.parquet(path)
+    edges, edges_at = written(edges.where("node <> root").distinct(), "edges")
     labels = edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
+    old: list[str] = []
     while True:
-        path = shared_folder(spark, "labels")
-        labels.write.parquet(path)
-        labels = spark.read.parquet(path)
+        labels, labels_at = written(labels, "labels")
+        removed(spark, *old)
         at = labels.select(F.col("node").alias("node"), F.col("root").alias("a"))
         to = labels.select(F.col("node").alias("root"), F.col("root").alias("b"))
         low = edges.join(at, "node").join(to, "root").where("a <> b").select("a", "b", F.least("a", "b").alias("low"))
-        hooked = low.select(F.greatest("a", "b").alias("node"), "low").groupBy("node").agg(F.min("low").alias("low"))
-        path = shared_folder(spark, "hooked")
-        hooked.write.parquet(path)
-        hooked = spark.read.parquet(path)
+        hooked, hooked_at = written(low.select(F.greatest("a", "b").alias("node"), "low").groupBy("node").agg(F.min("low").alias("low")), "hooked")
         if hooked.isEmpty():
-            return labels
+            removed(spark, edges_at, hooked_at)
+            return labels, labels_at
         # roots hooked to roots make chains: follow them to their ends before the labels are moved
         while True:
             jump = hooked.join(hooked.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left")
-            path = shared_folder(spark, "jumped")
-            jump.select("node", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")).write.parquet(path)
-            jumped = spark.read.parquet(path)
-            hooked = jumped.select("node", "low")
+            jumped, jumped_at = written(jump.select("node", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "jumped")
+            removed(spark, hooked_at)
+            hooked, hooked_at = jumped.select("node", "low"), jumped_at
             if jumped.where("moved").isEmpty():
                 break
         labels = labels.join(hooked.select(F.col("node").alias("root"), "low"), "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+        old = [labels_at, hooked_at]
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = BLOCK, with_node: bool = False) -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, with_node: bool = False) -> DataFrame:
     """key, class_id (the smallest id of its class), n_links (other documents at the threshold or above), n_link_texts (other n-gram sets among them); with_node adds node."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, pick(docs, key=key, text=text)
     bands, rows = bands_for(threshold, recall)
-    path = shared_folder(spark, "signatures")
-    signatures(docs, key, text, size, bands, rows).write.parquet(path)
-    signed = spark.read.parquet(path)
-    reps = signed.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("bands").alias("bands"))
-    path = shared_folder(spark, "links")
-    tile_links(tiles_of(reps, block), docs, key, text, size, bands, rows, threshold).write.parquet(path)
-    links = spark.read.parquet(path)
+    signed, _ = written(signatures(docs, size, bands, rows), "signatures")
+    able = signed.where(F.col("node").isNotNull() & F.col("key").isNotNull())
+    nodes = able.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("mark").alias("mark"), F.min("chars").alias("chars"), F.first("bands").alias("bands"))
+    placed, kept = buckets_of(nodes, block, block_bytes)
+    kept, kept_at = written(kept, "buckets")
+    small, large = tiles_of(placed, kept)
+    if kept.where("parts > 1").isEmpty():
+        tiles = small.withColumn("hot", F.lit(0).cast("long"))
+    else:
+        bits = placed.join(kept.where("parts > 1").select("bucket"), "bucket").groupBy("rep", "mark").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("hot"))
+        tiles = small.unionByName(large).join(bits, ["rep", "mark"], "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
+    links, links_at = written(tile_links(tiles, docs, size, bands, rows, threshold), "links")
     counts = links.groupBy("node").agg(F.sum("documents").alias("documents"), F.sum("nodes").alias("nodes"))
-    nodes = signed.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
-    known = nodes.join(components(links.select("node", "root"), spark), "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found, found_at = components(links.select("node", "root"), spark)
+    known = nodes.select("node", "rep", "copies").join(found, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.where("nodes is not null").groupBy("root").agg(F.min("rep").alias("class_id"))
     known = known.join(least, "root", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("nodes", F.lit(0)).alias("n_link_texts"))
-    path = shared_folder(spark, "nodes")
-    known.write.parquet(path)
-    known = spark.read.parquet(path)
-    out = signed.select(key, F.when(F.col(key).isNotNull(), F.col("node")).alias("node")).join(known, "node", "left")
-    return out.select(key, *(["node"] if with_node else []), F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).cast("long").alias("n_link_texts"))
+    known, _ = written(known, "nodes")
+    removed(spark, kept_at, links_at, found_at)
+    out = signed.select("key", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")).join(known, "node", "left")
+    out = out.select("key", *(["node"] if with_node else []), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).cast("long").alias("n_link_texts"))
+    return out.withColumnRenamed("key", key)
 
 
-def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, **how) -> DataFrame:
     """The documents, all columns, but of each class only the one of smallest id.
 
     Rows under one id are told apart by their n-gram sets: of those of a class that share its smallest id, one stays.
+    Columns are taken by place; their names are put back at the end.
     """
-    classes = jaccard_classes(docs, key, text, with_node=True, **how)
-    path = shared_folder(docs.sparkSession, "classes")
-    classes.where(F.col(key).isNotNull() & F.col("node").isNotNull()).select(F.col(key).alias("__id"), F.col("node").alias("__node"), (F.col("class_id") != F.col(key)).alias("__out")).write.parquet(path)
-    decided = docs.sparkSession.read.parquet(path)
-    repeated = decided.groupBy("__id").count().where("count > 1").select("__id")
-    gone = decided.where("__out").select("__id")
+    names, at, of = docs.columns, f"c{place_of(docs, key)}", f"c{place_of(docs, text)}"
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    classes = jaccard_classes(docs, at, of, size, threshold, recall, with_node=True, **how)
+    decided, _ = written(classes.where(F.col(at).isNotNull() & F.col("node").isNotNull()).select(F.col(at).alias("id"), "node", (F.col("class_id") != F.col(at)).alias("out")), "classes")
+    repeated = decided.groupBy("id").count().where("count > 1").select("id")
+    gone = decided.where("out").select("id")
     if repeated.isEmpty():
-        return docs.join(gone.hint("merge"), F.col(key) == F.col("__id"), "left_anti")  # as large as the input may make it: never broadcast
-    size, (bands, rows) = how.get("size", 5), bands_for(how.get("threshold", 0.8), how.get("recall", 0.9999))
-    single = docs.join(gone.unionByName(repeated).hint("merge"), F.col(key) == F.col("__id"), "left_anti")
+        return docs.join(gone.hint("merge"), F.col(at) == F.col("id"), "left_anti").toDF(*names)  # as large as the input may make it: never broadcast
+    bands, rows = bands_for(threshold, recall)
+    single = docs.join(gone.unionByName(repeated).hint("merge"), F.col(at) == F.col("id"), "left_anti")
 
     def nodes(texts):
         s = sketcher(size, bands, rows)
         return [[s.node(x) for x in s.sets(texts)]]
 
-    several = map_texts(docs.join(repeated, F.col(key) == F.col("__id"), "left_semi"), text, docs.columns, [T.StructField("__node", T.BinaryType())], nodes)
-    out = decided.where("__out").select(F.col("__id").alias(key), "__node").distinct()
-    wordless = several.where("__node is null")
-    kept = several.where("__node is not null").join(out, [key, "__node"], "left_anti").dropDuplicates([key, "__node"])
-    return single.unionByName(kept.unionByName(wordless).select(docs.columns))
+    several = map_texts(docs.join(repeated, F.col(at) == F.col("id"), "left_semi"), of, docs.columns, [T.StructField("node", T.BinaryType())], nodes)
+    out = decided.where("out").select(F.col("id").alias(at), "node").distinct()
+    wordless = several.where("node is null")
+    kept = several.where("node is not null").join(out, [at, "node"], "left_anti").dropDuplicates([at, "node"])
+    return single.unionByName(kept.unionByName(wordless).select(docs.columns)).toDF(*names)

@@ -4,8 +4,8 @@ Each feature has a lookup table over its bins, and so has each of some pairs of
 shallow trees on one feature (or one pair) at a time, fitted to the gradient of the logistic loss in turns around all
 features with a small rate. A document's score adds the entries of its bins.
 
-Defined results: null and empty texts have all features 0 and are scored as such; repeated rows are scored each;
-without labels of both kinds the score is the share of good labels (0.5 without any); an empty table gives no rows;
+Defined results: null and empty texts have all features 0 and are scored as such; repeated rows are scored each, in
+learning one text of each id and label counts; without labels of both kinds the score is the share of good labels (0.5 without any); an empty table gives no rows;
 other columns are not read.
 """
 
@@ -166,8 +166,8 @@ def feature_rows(texts: list[str]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 6000, fold: int = 5, held_out: int = 0, label: str = "quality") -> AdditiveModel:
     """Tables from at most `most` labelled documents whose id isn't in the held-out fold; executors make their features."""
     rows = sample_texts(docs, labels, label, most, fold, held_out)
-    made = map_texts(rows, "__text", ["__key", "__label"], [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda texts: [feature_rows(texts).tolist()])
-    found = sorted((r["__key"], int(r["__label"]), r["x"]) for r in made.collect())
+    made = map_texts(rows, "text", ["key", "label"], [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda texts: [feature_rows(texts).tolist()])
+    found = sorted((r["key"], int(r["label"]), r["x"]) for r in made.collect())
     return AdditiveModel().fit(np.array([r[2] for r in found], float).reshape(len(found), len(FEATURES)), np.array([r[1] for r in found], float))
 
 

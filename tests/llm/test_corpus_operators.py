@@ -286,7 +286,7 @@ def test_join_is_brute_force(spark):
     rows += [(1000, None), (1001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for block in (192, 4):  # whole buckets, and buckets cut into tiles
+    for block in (192, 4):  # whole buckets, and hot ones cut into blocks
         got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.jaccard_classes(docs, block=block).collect()}
         assert got == want
     kept = {r["doc_id"] for r in ngram_join.keep_one_of_each(docs).collect()}
