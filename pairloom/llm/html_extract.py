@@ -6,7 +6,8 @@ likelihood on labelled pages, and is decoded by Viterbi. `labelled_pages` makes
 with every block's label known from the way it was made.
 
 Defined results: null, empty and tag-only pages have an empty text; scripts, styles, comments and what is in <head> are
-no blocks; unclosed and stray tags are recovered from; <br> is white space; repeated rows are extracted each; an empty
+no blocks; unclosed and stray tags are recovered from, an open <head> by the first tag that cannot stand in it; the text
+of formulas belongs to its block; <br> is white space; repeated rows are extracted each; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
+from collections.abc import Container
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,49 +28,66 @@ from pairloom.llm.common import map_texts
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript head title svg math iframe object select textarea canvas audio video map".split())
+SILENT = frozenset("script style template noscript head title svg iframe object select textarea canvas audio video map".split())
 #: An opening tag ends these open ones, unless one of the borders stands between.
 ENDS = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt", "p"}, {"dl"}), "dt": ({"dd", "dt", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NAME_WORD = re.compile(r"[a-z]+")
 
 
+#: What <head> may hold: any other tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
+
 class Blocks(HTMLParser):
-    """blocks: (features of the ancestors, text, share of it in links) in page order."""
+    """blocks: (features of the ancestors, text, share of it in links) in page order.
+
+    known: the names that matter; what is held of the ancestors is bounded by it, however deep tags are nested.
+    """
 
-    def __init__(self):
+    def __init__(self, known: Container[str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter[str] = Counter()
+        self.names: dict[str, int] = {}  # of the open tags, and how often
+        self.owners = ["none"]  # the open block tags
         self.blocks: list[tuple[list[str], str, float]] = []
         self.parts: list[str] = []
-        self.links = self.silent = self.linked = 0
+        self.silent = self.linked = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                names = list(dict.fromkeys(n for _, own in self.stack for n in own))
-                own = next((t for t, _ in reversed(self.stack) if t in BLOCK_TAGS), "none")
-                self.blocks.append(([*names, f"own:{own}"], text, self.linked / len(text)))
+                self.blocks.append(([*self.names, f"own:{self.owners[-1]}"], text, self.linked / len(text)))
             self.parts, self.linked = [], 0
 
     def pop(self, to: int) -> None:
-        for tag, _ in self.stack[to:]:
+        while len(self.stack) > to:
+            tag, names = self.stack.pop()
+            self.open[tag] -= 1
             self.silent -= tag in SILENT
-            self.links -= tag == "a"
-        del self.stack[to:]
+            if tag in BLOCK_TAGS:
+                self.owners.pop()
+            for n in names:
+                self.names[n] -= 1
+                if not self.names[n]:
+                    del self.names[n]
 
     def close_open(self, tags: set[str], borders: set[str]) -> None:
+        left = sum(self.open[t] for t in tags)
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in borders:
+            if not left or self.stack[i][0] in borders:
                 return
             if self.stack[i][0] in tags:
+                left -= sum(t in tags for t, _ in self.stack[i:])
                 self.pop(i)
 
     def handle_starttag(self, tag, attrs):
+        if self.open["head"] and tag not in IN_HEAD:
+            self.close_open({"head"}, set())
         if tag in BLOCK_TAGS:
             self.flush()
-            if tag == "body":
-                self.close_open({"head"}, set())
             if tag in ENDS:
                 self.close_open(*ENDS[tag])
             else:
@@ -80,9 +100,14 @@ class Blocks(HTMLParser):
             self.close_open({"a"}, set(BLOCK_TAGS))
         names = [f"tag:{tag}"] if tag in BLOCK_TAGS else []
         names += [f"name:{w}" for k, v in attrs if k in ("class", "id", "role") and v for w in NAME_WORD.findall(v.lower())]
-        self.stack.append((tag, tuple(names)))
+        names = tuple(n for n in names if self.known is None or n in self.known)
+        self.stack.append((tag, names))
+        self.open[tag] += 1
         self.silent += tag in SILENT
-        self.links += tag == "a"
+        if tag in BLOCK_TAGS:
+            self.owners.append(tag)
+        for n in names:
+            self.names[n] = self.names.get(n, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -92,6 +117,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.pop(i)
@@ -102,12 +129,12 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(data)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[list[str], str, float]]:
-    parser = Blocks()
+def blocks_of(html: str | None, known: Container[str] | None = None) -> list[tuple[list[str], str, float]]:
+    parser = Blocks(known)
     if html:
         parser.feed(html)
         parser.close()
@@ -276,8 +303,8 @@ def labelled_pages(n: int = 480, seed: int = 3) -> list[tuple[str, list[str]]]:
     return pages
 
 
-def featured(html: str | None) -> tuple[list[list[str]], list[str]]:
-    found = blocks_of(html)
+def featured(html: str | None, known: Container[str] | None = None) -> tuple[list[list[str]], list[str]]:
+    found = blocks_of(html, known)
     return [names + text_features(text, linked) for names, text, linked in found], [text for _, text, _ in found]
 
 
@@ -301,7 +328,7 @@ def trained(pages: int = 480, seed: int = 3) -> Field:
 
 def extract(html: str | None, field: Field) -> list[str]:
     """The blocks of a page's main text."""
-    features, texts = featured(html)
+    features, texts = featured(html, field.index)
     return [t for t, label in zip(texts, field.decode(features), strict=True) if label]
 
 

@@ -1,8 +1,7 @@
 """Licence scan by ordered signature rules.
 
 A document's bytes are lower-cased (A-Z only). Keywords are looked for first, in one pass; a rule is tried only where its
-keyword is. Found places are taken by class, then length, then position; a place that lies inside one already taken is
-suppressed. Beside the rules, the base phrases are found at all their places, and their labels always stay.
+keyword is. A place that lies inside another one of a higher class, or inside a longer one of its own, is suppressed. Beside the rules, the base phrases are found at all their places, and their labels always stay.
 
 Words are runs of digits, letters a-z and all characters beyond ASCII, counted from 0.
 
@@ -65,12 +64,15 @@ def detections(lowered: str) -> tuple[list[tuple[int, int, int, str]], list[tupl
     if not words:
         return [], []
     found = [(m.start(), m.end(), kind, label) for w in words for kind, label, pattern in by_word[w] for m in pattern.finditer(lowered)]
+    # a place goes if one of its class or a higher one spans it: by start, the longest first, the largest end of each class tells
     kept: list[tuple[int, int, int, str]] = []
-    for a, b, kind, label in sorted(found, key=lambda f: (-f[2], f[0] - f[1], f[0], f[3])):
-        if not any(c <= a and b <= d for c, d, _, _ in kept):
+    reach = [0] * len(SURE)
+    for a, b, kind, label in sorted(found, key=lambda f: (f[0], -f[1], -f[2], f[3])):
+        if max(reach[kind:]) < b:
             kept.append((a, b, kind, label))
+        reach[kind] = max(reach[kind], b)
     base = [(m.start(), label) for w, label, pattern in base_patterns() if w in words for m in pattern.finditer(lowered)]
-    return sorted(kept), sorted(base)
+    return kept, sorted(base)
 
 
 def scan_text(text: str) -> tuple:
