@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 RUN = r"\s "
 #: What keeps a chunk from being cut at its line ends.
 SPACES = re.compile(r"[^\S\n ]|\n\n| \n")
-LETTERS = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+LATIN = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
+LETTERS = re.compile(rf"( ?{LATIN.pattern})([!-/:-@\[-`{{-~]*)")
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -32,7 +34,7 @@ def byte_alphabet() -> dict[int, str]:
 class PieceEncoder:
     """encode(texts) gives all ids in one array and where each text's ids begin. Ids equal those of the library on whole texts."""
 
-    def __init__(self, path: str, special_as_text: bool = True, cached: int = 400_000):
+    def __init__(self, path: str, special_as_text: bool = True, cached: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,9 +42,9 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.map = byte_alphabet()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special and not special_as_text else None
+        self.special = [] if special_as_text else special
         self.line_end = self._whole("\n")
-        self.cached, self.young, self.old = cached, {}, {}
+        self.cached, self.young, self.old, self.tails = cached, {}, {}, {}
         self.bytewise = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__ and self.tokenizer.normalizer is None
 
     def _whole(self, text: str) -> bytes:
@@ -65,30 +67,45 @@ class PieceEncoder:
 
     def _spaced(self, words: list[str]) -> list[bytes]:
         """The ids of each chunk that is a space and one of these strings; these are remembered."""
-        young, old, tokenize = self.young, self.old, self.model.tokenize
+        young, old, tails = self.young, self.old, self.tails
         found = list(map(young.get, words))
         for i, ids in enumerate(found):
             if ids is None:
                 word = words[i]
                 ids = old.get(word)
                 if ids is None:
-                    if word.isalpha() and (word.isascii() or LETTERS.fullmatch(word)):
-                        piece = "Ġ" + (word if word.isascii() else word.encode().decode("latin1").translate(self.map))
-                        ids = array("I", [t.id for t in tokenize(piece)]).tobytes()
-                    else:
+                    # letters are a piece, the signs behind them are another
+                    stem = word.rstrip(SIGNS)
+                    if not stem.isalpha() or not (stem.isascii() or LATIN.fullmatch(stem)):
                         ids = self._made(f" {word}")
+                    elif len(stem) == len(word):
+                        ids = self._letters(word)
+                    else:
+                        ids = young.get(stem) or old.get(stem)
+                        if ids is None:
+                            ids = young[stem] = self._letters(stem)
+                        signs = word[len(stem) :]
+                        if signs not in tails:
+                            if len(tails) > 10_000:
+                                tails.clear()
+                            tails[signs] = self._piece(signs)
+                        ids += tails[signs]
                 found[i] = young[word] = ids
         if len(self.young) > self.cached:  # what wasn't used since the last turn goes
             self.old, self.young = self.young, {}
         return found
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a space and letters."""
+        return array("I", [t.id for t in self.model.tokenize("Ġ" + (word if word.isascii() else word.encode().decode("latin1").translate(self.map)))]).tobytes()
+
     def _cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all distinct chunks, their sizes, which chunks the texts consist of, and where each text's begin."""
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, RUN).to_numpy(zero_copy_only=False) | (not self.bytewise)
         odd |= np.array([not o and not t.isascii() and bool(re.search(RUN, t)) for t, o in zip(texts, odd, strict=True)], bool)
         if self.special:
-            odd |= np.array([bool(self.special.search(t)) for t in texts], bool)
+            odd |= np.array([any(s in t for s in self.special) for t in texts], bool)
         lists = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
         starts = lists.offsets.to_numpy()
         codes = lists.values.dictionary_encode()
@@ -116,6 +133,6 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, special_as_text: bool = True, cached: int = 400_000) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = True, cached: int = 250_000) -> PieceEncoder:
     """One for each worker process and file."""
     return PieceEncoder(path, special_as_text, cached)
