@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import shared_folder, split_mod, table
+from pairloom.llm.common import pick, shared_folder, split_mod, table
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -43,7 +43,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.ann import nearest
 
-    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return nearest(pick(table(spark, sf_dir, "embeddings"), vec_id="vec_id", embedding="embedding"), F.col("vec_id") % 50 == 0)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
