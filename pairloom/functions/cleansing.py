@@ -81,6 +81,24 @@ def discount_text(values: dict[str, Column], names: bool) -> Column:
     return F.concat_ws(",", *(F.when(F.coalesce(v, F.lit("")).isin("", "false", "0", "[]", "{}") == F.lit(False), F.concat(F.lit('"'), F.lit(n) if names else v, F.lit('"'))) for n, v in values.items()))
 
 
+def discount_value(value: Column, kind: str) -> Column:
+    """A discount attribute as text, null if it isn't set (null, empty, zero or false); what isn't text is JSON."""
+    if kind == "string":
+        return F.nullif(value, F.lit(""))
+    if kind == "boolean":
+        return F.when(value, F.lit("true"))
+    if kind.startswith(("array", "map")):
+        return F.when(F.size(value) > 0, F.to_json(value))
+    if kind.startswith("struct"):
+        return F.to_json(value)
+    return F.when(value != 0, value.cast("string"))
+
+
+def discount_list(values: dict[str, Column], names: bool) -> Column:
+    """Quoted names (or values) of the discounts that are set, comma-joined."""
+    return F.concat_ws(",", *(F.when(v.isNotNull(), F.concat(F.lit('"'), F.lit(n) if names else v, F.lit('"'))) for n, v in values.items()))
+
+
 def mapped_label(match_type: Column) -> Column:
     return F.coalesce((match_type == "match").cast("int"), F.lit(0))
 

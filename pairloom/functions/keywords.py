@@ -108,8 +108,11 @@ def tag_brands(tokens: Column, vocabulary: Vocabulary) -> Column:
     return F.transform(join_spaced(tokens, vocabulary.spaced_brands), lambda t: F.when(t.isin(*sorted(vocabulary.brands)), F.concat(F.lit(MARKS["brand"]), t)).otherwise(t))
 
 
-def tag_tokens(tokens: Column, vocabulary: Vocabulary, config: Config = Config(), units=True, colors=True, ids=True, numbers=True, brands=True) -> Column:
-    """Units, then colour, identifier and number of each token, then brands. No tokens give one empty token."""
+def tag_tokens(tokens: Column, vocabulary: Vocabulary, config: Config = Config(), units=True, colors=True, ids=True, numbers=True, brands=True, known_words: Column | None = None) -> Column:
+    """Units, then colour, identifier and number of each token, then brands. No tokens give one empty token.
+
+    known_words: an array of words that are no identifiers.
+    """
     tokens = let(tokens, lambda t: F.when(F.size(t) == 0, F.array(F.lit(""))).otherwise(t))
     if units:
         tokens = tag_units(tokens, vocabulary)
@@ -124,7 +127,7 @@ def tag_tokens(tokens: Column, vocabulary: Vocabulary, config: Config = Config()
             if colors:
                 tried.append(F.nullif(tag_color(t, vocabulary), t))
             if ids:
-                tried.append(F.nullif(tag_id(t, following, config), t))
+                tried.append(F.nullif(tag_id(t, following, config, known_words), t))
             if numbers:
                 tried.append(F.nullif(tag_number(t, following), t))
             return F.when(t.startswith(MARKS["unit"]), t).otherwise(F.coalesce(*tried, t))

@@ -19,6 +19,12 @@ def nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkd_each(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition of every text of an array."""
+    return texts.map(lambda ts: [t if t is None or t.isascii() else unicodedata.normalize("NFKD", t) for t in ts], na_action="ignore")
+
+
 @F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings; null with a null."""
@@ -152,3 +158,7 @@ def stem(word: str) -> str:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: [stem(t) for t in ts], na_action="ignore")
+
+
+# not deterministic: so that the optimiser leaves them where they stand, and never moves them into a function of array elements
+nfkd, nfkd_each, stem_tokens = (f.asNondeterministic() for f in (nfkd, nfkd_each, stem_tokens))

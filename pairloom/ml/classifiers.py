@@ -1,12 +1,13 @@
 """Classifiers of pairs with one interface: fit(df) gives a model, model.score(df) adds `score` and `predicted_match`.
 
-Models without a counterpart in Spark ML: a polynomial support vector machine is a linear one on expanded features, its
-score a logistic function of the margin; AdaBoost is SAMME over weighted logistic regressions; neural networks train by
+Models without a counterpart in Spark ML: a polynomial support vector machine is a linear one on the products of features,
+or on a tensor sketch of them where there are more than SKETCH, its score a logistic function of the margin; AdaBoost is SAMME over weighted logistic regressions; neural networks train by
 L-BFGS with sigmoid units. They are to be compared by their metrics.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -20,7 +21,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as X
 from pyspark.ml import regression as R
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +44,55 @@ DEFAULTS = {
     "Boosting": {"models": 15, "share": 0.2, "hidden": (10, 10), "maxIter": 100},
     "AdaBoost": {"models": 400, "maxIter": 20},
 }
+#: Settings to search among, under Spark's names (leaves hold about half of what a split asks for; depth ends at 30).
+SPACES = {
+    "LinearRegression": {},
+    "LogisticRegression": {"maxIter": [10, 20, 50, 100, 200, 500], "regParam": [0.0, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]},
+    "SupportVectorMachine": {"degree": [1, 2, 3, 4, 5], "maxIter": [10, 20, 50, 100, 200, 500]},
+    "DecisionTree": {"impurity": ["gini", "entropy"], "maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 3, 5, 8, 10]},
+    "RandomForest": {"numTrees": [50, 100, 200, 500], "impurity": ["gini", "entropy"], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 3, 5, 10]},
+    "NeuralNetwork": {"hidden": [(10, 10), (50, 50), (10, 50), (10, 10, 10), (50, 50, 50), (50, 10, 50), (10, 50, 10)], "maxIter": [50, 100, 500]},
+    "AdaBoost": {"models": [400, 100]},
+    "GradientBoosting": {},
+    "Bagging": {},
+    "Boosting": {},
+}
+#: Products of features that are made one by one; more are sketched in so many dimensions.
+SKETCH = 2048
 #: Models whose rows are weighted so that both classes count alike.
 BALANCED = ("LogisticRegression", "SupportVectorMachine", "DecisionTree", "RandomForest")
 
 
+@functools.lru_cache(maxsize=8)
+def _count_sketches(width: int, degree: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([width, degree, dims])
+    return rng.integers(0, dims, (degree, width + 1)), rng.choice([-1.0, 1.0], (degree, width + 1))
+
+
+def tensor_sketch(x: np.ndarray, degree: int, dims: int = SKETCH) -> np.ndarray:
+    """Rows whose products approximate the kernel (x y / width + 1) ** degree: count sketches, multiplied as spectra."""
+    x = np.concatenate([x / np.sqrt(x.shape[1]), np.ones((len(x), 1))], axis=1)
+    spectrum = None
+    for place, sign in zip(*_count_sketches(x.shape[1] - 1, degree, dims), strict=True):
+        one = np.zeros((len(x), dims))
+        for i in range(x.shape[1]):
+            one[:, place[i]] += sign[i] * x[:, i]
+        own = np.fft.rfft(one, axis=1)
+        spectrum = own if spectrum is None else spectrum * own
+    return np.fft.irfft(spectrum, n=dims, axis=1)
+
+
+def with_sketch(df: DataFrame, inputs: str, degree: int) -> DataFrame:
+    """df with the sketched products of its input vector as __x."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sketch(rows: pd.Series) -> pd.Series:
+        parts = [tensor_sketch(np.stack(rows[a : a + 1024]), degree) for a in range(0, len(rows), 1024)]
+        return pd.Series([r for p in parts for r in p], dtype=object)
+
+    return df.withColumn("__x", array_to_vector(sketch(vector_to_array(inputs))))
+
+
 @dataclass
 class Model:
     """Fitted parts and the weights of their scores; mean: scores are averaged, else summed and put through a logistic function."""
@@ -60,7 +106,11 @@ class Model:
     params: dict = field(default_factory=dict)
 
     def raw(self, df: DataFrame, part: PipelineModel, name: str) -> DataFrame:
-        out = part.transform(df)
+        if self.params.get("sketched"):
+            made = with_sketch(PipelineModel(part.stages[:-1]).transform(df), self.params["sketched"], self.params["degree"])
+            out = part.stages[-1].transform(made)
+        else:
+            out = part.transform(df)
         if self.kind == "LinearRegression":
             value = F.col("prediction")
         elif self.kind == "SupportVectorMachine":
@@ -139,19 +189,19 @@ def _estimator(kind: str, inputs: str, width: int, label: str, p: dict) -> list:
     if kind == "SupportVectorMachine":
         return [X.PolynomialExpansion(inputCol=inputs, outputCol="__x", degree=p["degree"]), C.LinearSVC(featuresCol="__x", labelCol=label, weightCol="weight", **pick("maxIter", "regParam"))]
     if kind == "DecisionTree":
-        return [C.DecisionTreeClassifier(**common, weightCol="weight", seed=1, **pick("impurity", "maxDepth", "minInstancesPerNode"))]
+        return [C.DecisionTreeClassifier(**common, weightCol="weight", seed=p["seed"], **pick("impurity", "maxDepth", "minInstancesPerNode"))]
     if kind == "RandomForest":
-        return [C.RandomForestClassifier(**common, weightCol="weight", seed=1, **pick("impurity", "maxDepth", "numTrees", "minInstancesPerNode"))]
+        return [C.RandomForestClassifier(**common, weightCol="weight", seed=p["seed"], **pick("impurity", "maxDepth", "numTrees", "minInstancesPerNode"))]
     if kind == "GradientBoosting":
-        return [C.GBTClassifier(**common, seed=1, **pick("maxIter", "maxDepth"))]
+        return [C.GBTClassifier(**common, seed=p["seed"], **pick("maxIter", "maxDepth"))]
     if kind in ("NeuralNetwork", "Bagging", "Boosting"):
-        return [C.MultilayerPerceptronClassifier(**common, layers=[width, *p["hidden"], 2], seed=1, **pick("maxIter"))]
+        return [C.MultilayerPerceptronClassifier(**common, layers=[width, *p["hidden"], 2], seed=p["seed"], **pick("maxIter"))]
     raise ValueError(f"no such model: {kind}")
 
 
-def fit(df: DataFrame, kind: str, features: list[str], label: str = "match", pca: int | None = None, threshold: float = 0.5, **params) -> Model:
-    """A model of the given kind; pca: centred principal components in place of the features."""
-    p = DEFAULTS[kind] | params
+def fit(df: DataFrame, kind: str, features: list[str], label: str = "match", pca: int | None = None, threshold: float = 0.5, seed: int = 1, **params) -> Model:
+    """A model of the given kind; pca: centred principal components in place of the features; seed: of what is drawn."""
+    p = DEFAULTS[kind] | {"seed": seed} | params
     stages, inputs = _stages(features, pca)
     width = pca or len(features)
     df = df.withColumn("__label", F.col(label).cast("double"))
@@ -163,17 +213,28 @@ def fit(df: DataFrame, kind: str, features: list[str], label: str = "match", pca
         return _adaboost(df, stages, inputs, features, p, threshold)
     if kind in ("Bagging", "Boosting"):
         model = Model(kind, features, [], [], True, threshold, p)
+        # the sum of the parts' scores is carried in a written column, so that a round scores its own part only
+        rows = writers.materialise(df.withColumn("__total", F.lit(0.0)), "boosting")
         for i in range(p["models"]):
             weight = F.lit(1.0)
-            data = df
-            if kind == "Boosting" and model.parts:  # rows that the mean score has wrong come more often
-                data = model.score(df)
-                weight = F.least(1 / F.greatest(F.when(F.col(label) == 1, F.col("score")).otherwise(1 - F.col("score")), F.lit(1e-6)), F.lit(10.0))
-            drawn = weighted_sample(data, weight, p["share"], seed=100 + i)
-            model.parts.append(pipeline(kind, drawn.drop("score", "predicted_match")))
+            if kind == "Boosting" and i:  # rows that the mean score has wrong come more often
+                mean = F.col("__total") / i
+                weight = F.least(1 / F.greatest(F.when(F.col(label) == 1, mean).otherwise(1 - mean), F.lit(1e-6)), F.lit(10.0))
+            drawn = weighted_sample(rows, weight, p["share"], seed=100 * p["seed"] + i)
+            model.parts.append(pipeline(kind, drawn.drop("__total")))
             model.alphas.append(1.0)
+            if kind == "Boosting" and i < p["models"] - 1:
+                old, rows = rows, writers.materialise(model.raw(rows, model.parts[-1], "__own").withColumn("__total", F.col("__total") + F.col("__own")).drop("__own"), "boosting")
+                writers.discard(old)
+        writers.discard(rows)
         return model
     data = class_weights(df, label) if kind in BALANCED else df
+    if kind == "SupportVectorMachine" and math.comb(width + p["degree"], p["degree"]) - 1 > SKETCH:
+        ahead = Pipeline(stages=stages).fit(data)
+        made = writers.materialise(with_sketch(ahead.transform(data), inputs, p["degree"]).select("__x", "__label", "weight"), "sketched")
+        last = C.LinearSVC(featuresCol="__x", labelCol="__label", weightCol="weight", maxIter=p["maxIter"], regParam=p["regParam"]).fit(made)
+        writers.discard(made)
+        return Model(kind, features, [PipelineModel([*ahead.stages, last])], [1.0], True, threshold, p | {"sketched": inputs})
     return Model(kind, features, [pipeline(kind, data)], [1.0], True, threshold, p)
 
 
@@ -235,16 +296,20 @@ class Trained:
     model: Model
     train: dict
     test: dict
+    setting: dict = field(default_factory=dict)
 
 
-def train(df: DataFrame, kind: str, features: list[str], label: str = "match", config: Config = Config(), criterion: str = "max_precision", space: dict | None = None, search: str = "none", key: str = "pair_id", **params) -> list[Trained]:
-    """Every valid setting fitted on four fifths of the pairs, its threshold chosen from quantiles of the training scores by the test pairs."""
-    learn, test = hash_split(df, key, 0.8)
+def train(df: DataFrame, kind: str, features: list[str], label: str = "match", config: Config = Config(), criterion: str = "max_precision", space: dict | None = None, search: str = "none", key: str = "pair_id", run: int = 0, **params) -> list[Trained]:
+    """Every valid setting fitted on four fifths of the pairs, its threshold chosen from quantiles of the training scores by the test pairs.
+
+    space: settings to search among, those of the kind if none are given. run: each run has a split and a seed of its own.
+    """
+    learn, test = hash_split(df, key, 0.8, seed=42 + run)
     out = []
-    for setting in settings(space or {}, search):
+    for setting in settings(SPACES[kind] if space is None else space, search):
         if not valid(kind, setting):
             continue
-        model = fit(learn, kind, features, label, **(params | setting))
+        model = fit(learn, kind, features, label, seed=1 + run, **(params | setting))
         limits = evaluation.thresholds(model.score(learn), "score", config.thresholds)
         rows = evaluation.sweep(model.score(test), limits, label).collect()
         best = evaluation.best_threshold(rows, criterion, config)
@@ -252,7 +317,7 @@ def train(df: DataFrame, kind: str, features: list[str], label: str = "match", c
             continue
         model.threshold = best["threshold"]
         own = {k: v for k, v in evaluation.metrics(model.score(learn), label).first().asDict().items()}
-        out.append(Trained(model, own, best))
+        out.append(Trained(model, own, best, setting))
     return out
 
 
@@ -262,3 +327,18 @@ def best_of(trained: list[Trained], primary: str = "precision", secondary: str =
     if not able_ones:
         raise ValueError("no model meets the minimum")
     return max(able_ones, key=lambda t: (t.test[primary], t.test[secondary]))
+
+
+def averaged(trained: list[list[Trained]]) -> list[tuple[dict, dict, dict]]:
+    """Setting, training and test statistics, averaged over several runs of one search."""
+    by_setting: dict[str, list[Trained]] = {}
+    for t in itertools.chain.from_iterable(trained):
+        by_setting.setdefault(json.dumps(t.setting, sort_keys=True), []).append(t)
+    return [(own[0].setting, evaluation.mean_statistics([t.train for t in own]), evaluation.mean_statistics([t.test for t in own])) for own in by_setting.values()]
+
+
+def results(spark, trained: list[Trained]) -> DataFrame:
+    """A row a setting with its training and test statistics, the best test F1 first."""
+    names = ("f1", "accuracy", "precision", "recall")
+    rows = [(json.dumps(t.setting, sort_keys=True), *(float(own[n]) for own in (t.train, t.test) for n in names)) for t in trained]
+    return spark.createDataFrame(rows, "setting string, " + ", ".join(f"{part}_{n} double" for part in ("train", "test") for n in names)).orderBy(F.desc("test_f1"), "setting")

@@ -42,8 +42,8 @@ def thresholds(df: DataFrame, score: str, k: int = 100) -> DataFrame:
 
     Scores are counted first; ranks come from the distinct scores' running counts, so repeated scores are not sorted.
     """
-    counted = df.groupBy(score).agg(F.count("*").alias("held")).withColumn("__part", F.floor(F.coalesce(F.col(score), F.lit(0.0)) * 64))
-    sums = counted.groupBy("__part").agg(F.sum("held").alias("of"))
+    counted = df.groupBy(score).agg(F.count("*").alias("held")).withColumn("__part", F.least(F.greatest(F.floor(F.coalesce(F.col(score), F.lit(0.0)) * 4096), F.lit(-1)), F.lit(4096)))
+    sums = counted.groupBy("__part").agg(F.sum("held").alias("of"))  # 4098 rows at most
     before = sums.select("__part", (F.sum("of").over(Window.orderBy("__part")) - F.col("of")).alias("before"), F.sum("of").over(Window.partitionBy()).alias("n"))
     upto = counted.join(F.broadcast(before), "__part").withColumn("upto", F.col("before") + F.sum("held").over(Window.partitionBy("__part").orderBy(score)))
     # bucket i (from 1) ends at i * (n div k) + least(i, n mod k)
@@ -53,12 +53,27 @@ def thresholds(df: DataFrame, score: str, k: int = 100) -> DataFrame:
 
 
 def sweep(df: DataFrame, limits: DataFrame, label: str = "match", score: str = "score") -> DataFrame:
-    """Metrics and hard-label AUC at every threshold; limits has at most a few hundred rows."""
-    met = df.select(label, score).crossJoin(F.broadcast(limits.select("threshold").distinct()))  # a bounded list
-    at = met.withColumn("__p", (F.col(score) >= F.col("threshold")).cast("int")).groupBy("threshold").agg(*confusion(label, "__p"))
+    """Metrics and hard-label AUC at every threshold; limits has at most a few hundred rows.
+
+    Each row is counted once, by the number of thresholds that its score reaches; the counts of all thresholds are sums
+    over those few groups.
+    """
+    limits = limits.select("threshold").where("threshold is not null").distinct()
+    every = limits.agg(F.sort_array(F.collect_list("threshold")).alias("limits"))  # a bounded list
+    met = df.select(F.col(label).alias("y"), F.col(score).alias("s")).where("s is not null").crossJoin(F.broadcast(every))
+    held = met.groupBy(F.size(F.filter("limits", lambda t: t <= F.col("s"))).alias("reached")).agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros"))
+    rank = limits.crossJoin(F.broadcast(every)).select("threshold", F.array_position("limits", F.col("threshold")).alias("rank"))
+    over = F.col("reached") >= F.col("rank")
+    total = lambda c, on: F.sum(F.when(on, F.col(c)).otherwise(0))
+    at = rank.crossJoin(F.broadcast(held)).groupBy("threshold").agg(total("ones", over).alias("tp"), total("zeros", over).alias("fp"), total("zeros", ~over).alias("tn"), total("ones", ~over).alias("fn"))
     return with_metrics(at).withColumn("auc", (F.col("recall") + F.col("specificity")) / 2)
 
 
+def mean_statistics(runs: list[dict]) -> dict:
+    """The mean of each number over the statistics of several runs."""
+    return {k: sum(r[k] for r in runs) / len(runs) for k in runs[0] if isinstance(runs[0][k], int | float)} if runs else {}
+
+
 def best_threshold(rows: list, criterion: str = "max_precision", config: Config = Config()) -> dict | None:
     """The best of a sweep's rows by ascending threshold: the first of the best primary value, then of the better secondary one."""
     best = None
@@ -108,5 +123,10 @@ def misclassified_often(frames: list[DataFrame], key: str, times: int | None = N
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """word, n: lower-cased words of letters only."""
+    """word, n: lower-cased words of letters only; by_count(...) puts the most frequent first."""
     return docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word")).where(F.col("word").rlike(r"^\p{L}+$")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def by_count(counts: DataFrame, key: str = "word", n: str = "n") -> DataFrame:
+    """Rows by descending count, equal ones by key."""
+    return counts.orderBy(F.desc(n), key)

@@ -15,19 +15,25 @@ from pairloom.sources.writers import materialise
 BASE = ("name", "short_description", "long_description")
 
 
-def tokenised(products: DataFrame, vocabulary: Vocabulary, config: Config = Config(), decompose: bool = False) -> DataFrame:
+def tokenised(products: DataFrame, vocabulary: Vocabulary, config: Config = Config(), decompose: bool = True, dictionary: Column | None = None, known_words: Column | None = None) -> DataFrame:
     """id, price, url, code, and tagged tokens of every text column, of the keyword lists and of the specification.
 
     One projection without a shuffle, written once since every feature reads it. products: as schema.PRODUCT.
+    dictionary: a map column of lemmas, for config.language "czech"; known_words: an array of words that are no identifiers.
     """
     empty = F.array().cast("array<string>")
-    tokens = {c: text.preprocess(F.coalesce(F.col(c), F.lit("")), decompose, lower=config.lower_case) for c in BASE}
+    if config.language == "czech" and dictionary is None:
+        raise ValueError("lemmas need a dictionary")
     spec = text.last_of_each(F.coalesce("specification", F.array().cast("array<struct<key:string,value:string>>")))
-    tokens["specification_text"] = text.preprocess(text.specification_text(spec), decompose, lower=config.lower_case)
-    tags = lambda t, **on: keywords.tag_tokens(t, vocabulary, config, **on)
-    entries = F.transform(spec, lambda e: F.struct(F.array_join(text.preprocess(F.coalesce(e["key"], F.lit("")), False), " ").alias("key"), F.array_join(tags(text.preprocess(F.coalesce(e["value"], F.lit("")), False), colors=False, ids=False, brands=False), " ").alias("value")))
-    plain = products.select("id", "price", "url", F.coalesce("code", F.array(F.lit(""))).alias("code"), *(c.alias(f"{n}_plain") for n, c in tokens.items()), entries.alias("specification"))
-    marked = plain.withColumns({n: tags(F.col(f"{n}_plain")) for n in tokens})
+    # functions in Python stand in a projection of their own: behind it their results are plain columns
+    given = products.select("id", "price", "url", F.coalesce("code", F.array(F.lit(""))).alias("code"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in BASE), text.specification_text(spec).alias("specification_text"), F.transform(spec, lambda e: e["key"]).alias("keys"), F.transform(spec, lambda e: e["value"]).alias("values"))
+    given = given.withColumns({c: text.clean_text(F.col(c), decompose) for c in (*BASE, "specification_text")} | {c: text.cleaned_each(F.col(c), decompose) for c in ("keys", "values")})
+    words = lambda c: text.worded(text.cleaned_tokens(c, config.lower_case), config.language == "english", dictionary if config.language == "czech" else None)
+    tokens = {c: words(F.col(c)) for c in (*BASE, "specification_text")}
+    tags = lambda t, **on: keywords.tag_tokens(t, vocabulary, config, **on, known_words=known_words)
+    entries = F.zip_with("keys", "values", lambda k, v: F.struct(F.array_join(text.cleaned_tokens(k), " ").alias("key"), F.array_join(tags(text.cleaned_tokens(v), colors=False, ids=False, brands=False), " ").alias("value")))
+    plain = given.select("id", "price", "url", "code", *(c.alias(f"{n}_plain") for n, c in tokens.items()), entries.alias("specification"))
+    marked = plain.withColumns({n: tags(F.col(f"{n}_plain"), **config.detected(n)) for n in tokens})
     lists = keywords.keyword_lists(*(F.col(n) for n in tokens))
     out = marked.withColumns({n: F.coalesce(c, empty) for n, c in lists.items()})
     out = out.withColumn("all_texts", text.all_texts(*(F.col(n) for n in tokens)))
@@ -60,8 +66,24 @@ def pair_frame(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
     return pairs.join(a, "id1").join(b, "id2")
 
 
-def features(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), birthdate: Column | None = None) -> DataFrame:
-    """Ids, hashes, birthdate and all model inputs of pairs (id1, id2, ...) over tokenised products."""
+def split_marked(tokens: DataFrame, columns: tuple[str, ...] = (*BASE, "specification_text")) -> tuple[DataFrame, DataFrame]:
+    """Tokenised products with the marks of keywords in their text columns, and with the plain tokens in their place."""
+    names = [f"{c}_plain" for c in columns]
+    return tokens.drop(*names), tokens.drop(*columns).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+
+
+def image_similarities(pairs: DataFrame, images1: DataFrame, images2: DataFrame, config: Config = Config()) -> DataFrame:
+    """id1, id2, hash_similarity of pairs, 0 where a side has no image. images: id, hash, a row an image."""
+    of = lambda images, i: images.where("hash is not null").groupBy(F.col("id").alias(f"id{i}")).agg(F.sort_array(F.collect_list("hash")).alias(f"h{i}"))
+    both = pairs.select("id1", "id2").distinct().join(of(images1, 1), "id1", "left").join(of(images2, 2), "id2", "left")
+    return both.select("id1", "id2", F.coalesce(similarity.hash_similarity(F.col("h1"), F.col("h2"), config.image_limit), F.lit(0.0)).alias("hash_similarity"))
+
+
+def features(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), birthdate: Column | None = None, images: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Ids, hashes, birthdate and all model inputs of pairs (id1, id2, ...) over tokenised products.
+
+    images: id, hash of both sides' images, for a column hash_similarity behind the others.
+    """
     frame = pair_frame(pairs.select("id1", "id2").distinct(), left, right)
     made: dict[str, Column] = {}
     plain = {"id": similarity.id_ratio, "brand": similarity.brand_ratio, "words": similarity.words_ratio, "units": lambda a, b: similarity.units_distance(a, b, config), "numbers": similarity.numbers_distance}
@@ -81,7 +103,9 @@ def features(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config
         if "cos" in own or "descriptives" in own:
             out = out.join(_weighted(pairs, left, right, column, own, config), ["id1", "id2"])
     out = out.join(specification_matches(frame, config), ["id1", "id2"])
-    return out.select("id1", "id2", "all_texts_hash1", "all_texts_hash2", (birthdate if birthdate is not None else F.date_format(F.current_date(), "yyyy-MM-dd")).alias("birthdate"), *feature_columns(config))
+    if images:
+        out = out.join(image_similarities(out, *images, config), ["id1", "id2"])
+    return out.select("id1", "id2", "all_texts_hash1", "all_texts_hash2", (birthdate if birthdate is not None else F.date_format(F.current_date(), "yyyy-MM-dd")).alias("birthdate"), *feature_columns(config), *(["hash_similarity"] if images else []))
 
 
 def _weighted(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str, own: tuple[str, ...], config: Config) -> DataFrame:

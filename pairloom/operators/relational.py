@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.sources.writers import materialise
+
 
 def first_of_each(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
     """One row of each key: the first (or last) in the order, of equal ones the smallest (largest) row.
@@ -64,19 +66,33 @@ def weighted_sample(df: DataFrame, weight: Column, share: float, seed: int = 42)
     return drawn.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__rate", "__u", "__times", "__copy")
 
 
-def chunk_ids(df: DataFrame, order: str, size: int = 500) -> DataFrame:
-    """The number of each row's chunk in the order of a unique column, without a single task that sorts all rows.
+def numbered(df: DataFrame, order: str, number: str = "__number") -> DataFrame:
+    """Rows numbered from 0 in the order of a unique column, without a single task that sorts all rows.
 
-    Rows are dealt by range; each range's size is added up (a row a range), and rows are numbered in their range.
+    Rows are dealt by range and written once; each range's size is added up (a row a range), and rows are numbered in
+    their range.
     """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    ranged = materialise(df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    numbered = ranged.join(before, "__part").withColumn("chunk", F.floor((F.col("__before") + F.col("__in") - 1) / size).cast("int"))
-    return numbered.drop("__part", "__in", "__before")
+    placed = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    return placed.join(F.broadcast(before), "__part").withColumn(number, F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
+
+
+def chunk_ids(df: DataFrame, order: str, size: int = 500) -> DataFrame:
+    """The number of each row's chunk of so many rows, in the order of a unique column."""
+    return numbered(df, order).withColumn("chunk", F.floor(F.col("__number") / size).cast("int")).drop("__number")
 
 
 def query_chunks(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """Rows dealt in order to so many chunks, as even as can be."""
-    return df.withColumn("chunk", F.ntile(parts).over(Window.orderBy(order)))
+    """Rows dealt in the order of a unique column to so many chunks (from 1), as even as can be, the first ones larger."""
+    n = df.count()
+    each, more = divmod(n, parts)
+    at = F.col("__number")
+    chunk = F.when(at < more * (each + 1), at / (each + 1)).otherwise(more + (at - more * (each + 1)) / max(each, 1))
+    return numbered(df, order).withColumn("chunk", (F.floor(chunk) + 1).cast("int")).drop("__number")
+
+
+def side_of(pairs: DataFrame, side: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of one side of pairs, whose names end in 1 or 2, without that ending; also: columns to keep as they are."""
+    return pairs.select(*(F.col(f"`{c}`").alias(c[:-1]) for c in pairs.columns if c.endswith(str(side))), *also)

@@ -6,8 +6,6 @@ specifications come from the events' properties, vectors from embeddings.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from pairloom.functions.vocab import clean_vocabulary
 from pairloom.ml import classifiers
 from pairloom.operators import blocking, evaluation, features, relational, tfidf
 from pairloom.plans import matching
+from pairloom.sources import readers, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -173,13 +172,67 @@ def hamming_distance(spark, sf_dir):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", cleansing.hamming(F.col("na"), F.col("nb")).alias("distance"))
 
 
-@query("""SELECT p_partkey, NOT (brand = 'apple' AND id1 <> id2 OR length(id1) > 1 AND length(id2) > 1 AND id1[1:2] = id2[1:2] AND len(list_filter(range(1, least(length(id1), length(id2)) + 1), lambda i: id1[i] <> id2[i])) > 2) AS same
-FROM (SELECT p_partkey, 'AB' || p_partkey AS id1, 'AB' || (p_partkey * 7) AS id2, CASE WHEN p_size % 5 = 0 THEN 'apple' ELSE p_brand END AS brand FROM part)""")
+_MAX, _GB = r"regexp_matches(lower({0}), '\Wmax\W')", r"regexp_extract(lower({0}), '(\d+)\s?gb', 1)"
+
+
+@query(f"""SELECT p_partkey, NOT (brand = 'apple' AND (id1 <> id2 OR {_MAX.format('name1')} <> {_MAX.format('name2')} OR {_GB.format('name1')} <> '' AND {_GB.format('name2')} <> '' AND {_GB.format('name1')} <> {_GB.format('name2')})
+ OR length(id1) > 1 AND length(id2) > 1 AND id1[1:2] = id2[1:2] AND len(list_filter(range(1, least(length(id1), length(id2)) + 1), lambda i: id1[i] <> id2[i])) > 2) AS same
+FROM (SELECT p_partkey, 'AB' || p_partkey AS id1, 'AB' || (p_partkey * CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE 1 END) AS id2, CASE WHEN p_size % 5 < 3 THEN 'apple' ELSE p_brand END AS brand,
+ p_name || ' ' || (p_size % 4) || ' GB' AS name1, p_name || CASE WHEN p_size % 7 = 0 THEN ' max ' ELSE ' ' END || (p_partkey % 4) || 'gb' AS name2 FROM part)""")
 def match_sanity(spark, sf_dir):
-    k = F.col("p_partkey")
-    ids = [F.concat(F.lit("AB"), k.cast("string")), F.concat(F.lit("AB"), (k * 7).cast("string"))]
-    brand = F.when(F.col("p_size") % 5 == 0, "apple").otherwise(F.col("p_brand"))
-    return table(spark, sf_dir, "part").select("p_partkey", cleansing.same_model(F.col("p_name"), F.col("p_name"), *ids, brand).alias("same"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    ids = [F.concat(F.lit("AB"), k.cast("string")), F.concat(F.lit("AB"), (k * F.when(k % 3 == 0, 7).otherwise(1)).cast("string"))]
+    names = [F.concat("p_name", F.lit(" "), (size % 4).cast("string"), F.lit(" GB")), F.concat("p_name", F.when(size % 7 == 0, " max ").otherwise(" "), (k % 4).cast("string"), F.lit("gb"))]
+    brand = F.when(size % 5 < 3, "apple").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", cleansing.same_model(*names, *ids, brand).alias("same"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_discount > 0.05 THEN '"bundle"' END, CASE WHEN l_tax > 0 THEN '"freeInstallation"' END, CASE WHEN l_linenumber % 2 = 0 THEN '"freeItem"' END, CASE WHEN l_returnflag = 'A' THEN '"couponDiscount"' END) AS type,
+ concat_ws(',', CASE WHEN l_discount > 0.05 THEN '"true"' END, CASE WHEN l_tax > 0 THEN '"' || CAST(round(l_tax * 100)::INT AS VARCHAR) || '"' END, CASE WHEN l_linenumber % 2 = 0 THEN '"{"kind":"' || l_linestatus || '"}"' END, CASE WHEN l_returnflag = 'A' THEN '"["A"]"' END) AS name FROM lineitem""")
+def discount_objects(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") > 0.05).alias("bundle"), F.round(F.col("l_tax") * 100).cast("int").alias("freeInstallation"), F.when(F.col("l_linenumber") % 2 == 0, F.struct(F.col("l_linestatus").alias("kind"))).alias("freeItem"), F.when(F.col("l_returnflag") == "A", F.array(F.lit("A"))).otherwise(F.array().cast("array<string>")).alias("couponDiscount"))
+    values = {c: cleansing.discount_value(F.col(c), kind) for c, kind in rows.dtypes[2:]}
+    return rows.select("l_orderkey", "l_linenumber", cleansing.discount_list(values, True).alias("type"), cleansing.discount_list(values, False).alias("name"))
+
+
+@query("SELECT p_partkey, 'brand=' || p_brand || ';size=' || p_size AS of_map, 'type=' || p_type || ';size=' || p_size AS of_labels, 'a' || p_partkey || ',b' || p_size AS sources, p_brand || ',' || p_type || ',' || p_size AS codes, p_name AS bare FROM part")
+def nested_attribute_forms(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    said = lambda spec: F.array_join(F.transform(spec, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    labels = F.array(F.struct(F.lit("type").alias("label"), F.col("p_type").alias("value")), F.struct(F.lit("size").alias("label"), size.alias("value")))
+    images = F.array(F.struct(F.concat(F.lit("a"), F.col("p_partkey")).alias("src")), F.struct(F.concat(F.lit("b"), size).alias("src")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", said(F.array_sort(cleansing.specification_of_map(F.create_map(F.lit("size"), size, F.lit("brand"), F.col("p_brand"))))).alias("of_map"), said(cleansing.specification_of_labels(labels)).alias("of_labels"),
+        F.array_join(cleansing.image_sources(images), ",").alias("sources"), F.array_join(cleansing.flat_codes(F.array(F.array("p_brand", "p_type"), F.array(size))), ",").alias("codes"), cleansing.strip_brackets(F.concat(F.lit("[ "), F.col("p_name"), F.lit(" ]"))).alias("bare"),
+    )
+
+
+# Files: written and read back
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def json_append_and_scan(spark, sf_dir):
+    path, rows = writers.shared_path(spark, "records"), table(spark, sf_dir, "supplier")
+    writers.append_records(rows, path)
+    writers.append_records(rows.unionByName(spark.createDataFrame([(None,) * len(rows.columns)], rows.schema)), path, batch=100)
+    return readers.read_records(spark, path, rows.schema, ["s_suppkey", "s_name", "s_acctbal"])
+
+
+@query("""SELECT doc_id, md5('"' || text || '", ' || chr(10) || 'x') AS text, coalesce(lang, '') AS lang FROM documents""")
+def csv_write_and_scan(spark, sf_dir):
+    path = writers.shared_path(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"'), "text", F.lit('", \nx')).alias("text"), "lang")
+    writers.write_csv(rows, path)
+    back = readers.read_csv(spark, path, rows.schema)
+    return back.select("doc_id", F.md5("text").alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+@query("SELECT p_partkey::VARCHAR || '.jpg' AS name, md5(p_name) AS content FROM part")
+def image_chunks_write_and_scan(spark, sf_dir):
+    path = writers.shared_path(spark, "chunks")
+    images = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("name"), F.col("p_name").cast("binary").alias("content"))
+    writers.write_image_chunks(images, path, per_chunk=100)
+    return readers.read_image_chunks(spark, path).select("name", F.md5("content").alias("content"))
 
 
 # Tags
@@ -232,11 +285,17 @@ def left_anti_remove(spark, sf_dir):
     return relational.anti_join_null_safe(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"]).select("doc_id", "quality", "toxic")
 
 
-@query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) ON c_custkey = o_custkey WHERE r = 1")
 def lookup_last_source(spark, sf_dir):
-    sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_orderdate")
-    found, _ = relational.lookup_join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), sources, "l_orderkey", F.col("o_orderdate"))
-    return found.select("l_orderkey", "l_linenumber", "o_totalprice")
+    sources = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", "o_orderdate")
+    found, _ = relational.lookup_join(table(spark, sf_dir, "customer").select("c_custkey"), sources, "c_custkey", F.struct("o_orderdate", "o_orderkey"))
+    return found.select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+def lookup_without_source(spark, sf_dir):
+    sources = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return relational.lookup_join(table(spark, sf_dir, "customer").select("c_custkey"), sources, "c_custkey", F.col("o_orderkey"))[1]
 
 
 def _cache(spark, sf_dir):
@@ -355,6 +414,19 @@ def image_hash_similarity(spark, sf_dir):
     return _brothers(spark, sf_dir).select("k1", "k2", similarity.nibble_similarity(h("n1"), h("n2")).alias("similarity"), similarity.hash_similarity(F.array(h("n1"), h("b1")), F.array(h("n2"))).alias("total"))
 
 
+_IMAGES = "(SELECT p_partkey AS id, sha256(p_name)[1:16] AS h FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, sha256(p_type)[1:16] FROM part WHERE p_partkey % 2 > 0)"
+_ALIKE = "len(list_filter(range(1, 17), lambda i: a.h[i] = b.h[i])) / 16.0"
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS id1, CAST(p_partkey + 1 AS VARCHAR) AS id2, round(coalesce(s, 0.0), 6) AS hash_similarity FROM part LEFT JOIN (SELECT a.id, sum(CASE WHEN {_ALIKE} <= 0.9 THEN {_ALIKE} ELSE 0.0 END) AS s FROM {_IMAGES} a JOIN {_IMAGES} b ON b.id = a.id + 1 GROUP BY a.id) i ON i.id = p_partkey")
+def image_similarity_frame(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    of = lambda c, n: part.where(F.col("p_partkey") % n > 0).select(F.col("p_partkey").cast("string").alias("id"), F.substring(F.sha2(F.col(c), 256), 1, 16).alias("hash"))
+    images = of("p_name", 3).unionByName(of("p_type", 2))
+    pairs = part.select(F.col("p_partkey").cast("string").alias("id1"), (F.col("p_partkey") + 1).cast("string").alias("id2"))
+    return features.image_similarities(pairs, images, images).select("id1", "id2", r6(F.col("hash_similarity")).alias("hash_similarity"))
+
+
 @query("SELECT word FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark INTERSECT SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents)")
 def words_intersect(spark, sf_dir):
     words = lambda t: table(spark, sf_dir, t).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
@@ -523,10 +595,9 @@ def train_test_split(spark, sf_dir):
 
 @query()
 def export_bounded_csv(spark, sf_dir):
-    from pairloom.sources.writers import export_csv
+    from pairloom.sources.writers import export_csv, shared_path
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{top}/export-{uuid.uuid4().hex}"
+    path = shared_path(spark, "export")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     export_csv(rows, path, 200_000)
     back = spark.read.csv(path, header=True, sep=";", schema="l_orderkey long, l_linenumber int, l_returnflag string")
@@ -566,9 +637,9 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 def _training(kind: str, **params):
     def run(spark, sf_dir):
         rows, names = _vectors(spark, sf_dir)
-        rows = rows.cache()
-        model = classifiers.fit(rows, kind, names, **params)
-        return evaluation.metrics(model.score(rows))
+        learn, test = relational.hash_split(writers.materialise(rows, "vectors"), "vec_id", 0.8)
+        model = classifiers.fit(learn, kind, names, **params)
+        return evaluation.metrics(model.score(test))
 
     return run
 

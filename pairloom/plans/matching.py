@@ -56,13 +56,13 @@ def pair_with_source(targets: DataFrame, sources: DataFrame, on: str, ordinal: C
     return found.select(F.col("__s").alias("p1"), F.col("__t").alias("p2")), lost.select("__t.*")
 
 
-def match(pairs: DataFrame | None, left: DataFrame, right: DataFrame, model: classifiers.Model, vocabulary: Vocabulary, cache: DataFrame | None = None, config: Config = Config(), equal: list[tuple[str, str]] = ()) -> DataFrame:
+def match(pairs: DataFrame | None, left: DataFrame, right: DataFrame, model: classifiers.Model, vocabulary: Vocabulary, cache: DataFrame | None = None, config: Config = Config(), equal: list[tuple[str, str]] = (), **how) -> DataFrame:
     """id1, id2, all_texts_hash1, all_texts_hash2, predicted_scores, birthdate and predicted_match of candidate pairs.
 
     pairs: id1, id2 that are given, or None to find them by price and shared words. Pairs whose contents a cache has
-    scored before keep that score.
+    scored before keep that score. how: see features.tokenised.
     """
-    a, b = features.tokenised(left, vocabulary, config), features.tokenised(right, vocabulary, config)
+    a, b = features.tokenised(left, vocabulary, config, **how), features.tokenised(right, vocabulary, config, **how)
     if pairs is None:
         side = lambda t, i: t.select(F.col("id").alias(f"id{i}"), F.col("price").alias(f"price{i}"), F.col("name_plain").alias(f"name{i}"), *(F.col(c[i - 1][:-1]).alias(c[i - 1]) for c in equal))
         pairs = blocking.candidate_pairs(side(a, 1), side(b, 2), config, equal).select("id1", "id2")
@@ -81,14 +81,13 @@ def match(pairs: DataFrame | None, left: DataFrame, right: DataFrame, model: cla
     return scored.withColumn("predicted_match", F.when(F.col("predicted_scores") >= model.threshold, 1).otherwise(0))
 
 
-def train_matcher(labelled: DataFrame, left: DataFrame, right: DataFrame, vocabulary: Vocabulary, kinds: list[str], config: Config = Config(), runs: int = 1) -> classifiers.Trained:
-    """The best model of several kinds over labelled pairs (id1, id2, match)."""
-    a, b = features.tokenised(left, vocabulary, config), features.tokenised(right, vocabulary, config)
-    made = features.features(labelled, a, b, config).join(labelled.select("id1", "id2", "match"), ["id1", "id2"]).withColumn("pair_id", F.concat_ws("|", "id1", "id2")).cache()
-    try:
-        found = [t for kind in kinds for _ in range(runs) for t in classifiers.train(made, kind, feature_columns(config), config=config)]
-    finally:
-        made.unpersist()
+def train_matcher(labelled: DataFrame, left: DataFrame, right: DataFrame, vocabulary: Vocabulary, kinds: list[str], config: Config = Config(), runs: int = 1, criterion: str = "max_precision", **how) -> classifiers.Trained:
+    """The best model of several kinds and runs over labelled pairs (id1, id2, match). Each run has its own split and seed; how: see features.tokenised."""
+    a, b = features.tokenised(left, vocabulary, config, **how), features.tokenised(right, vocabulary, config, **how)
+    made = features.features(labelled, a, b, config).join(labelled.select("id1", "id2", "match"), ["id1", "id2"]).withColumn("pair_id", F.concat_ws("|", "id1", "id2"))
+    made = writers.materialise(made, "labelled")
+    found = [t for kind in kinds for run in range(runs) for t in classifiers.train(made, kind, feature_columns(config), config=config, criterion=criterion, run=run)]
+    writers.discard(made)
     return classifiers.best_of(found)
 
 
@@ -107,10 +106,11 @@ def aggregate_matches(matches: DataFrame, source: DataFrame, competitor: DataFra
     c = competitor.select(F.col("url").alias("url2"), cleansing.sku_of(F.col("SKU"), F.col("url")).alias("SKUID"), "netPrice", "originalPrice", *discounts)
     rows = matches.join(s, "url1").join(c, "url2").where(cleansing.same_model(F.col("name1"), F.col("name2"), F.col("id1"), F.col("id2"), F.col("brand"))).dropDuplicates(["url1", "url2"])
     original = cleansing.original_price(F.col("originalPrice"), F.col("netPrice"))
-    values = {d: F.col(d).cast("string") for d in discounts}
+    kinds = dict(competitor.dtypes)
+    values = {d: cleansing.discount_value(F.col(d), kinds[d]) for d in discounts}
     return rows.select(
         "SKUID", "CSKUID", F.col("name2").alias("name"), "brand", "netPrice", original.alias("originalPrice"), cleansing.discount_amount(F.col("netPrice"), original).alias("discountAmount"), F.col("url2").alias("skuUrl"),
-        cleansing.discount_text(values, True).alias("discountType"), cleansing.discount_text(values, False).alias("discountName"),
+        cleansing.discount_list(values, True).alias("discountType"), cleansing.discount_list(values, False).alias("discountName"),
         F.lit(company).alias("COMPID"), F.date_format(F.current_date(), "yyyy_MM_dd").alias("date"), F.lit(name).alias("competitor"),
     )
 
@@ -137,5 +137,4 @@ def publish_split(labelled: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
     """Labelled pairs for learning (four fifths), for testing (a tenth), and the rest as two product tables."""
     learn, rest = relational.hash_split(labelled, key, 0.8)
     test, unlabelled = relational.hash_split(rest, key, 0.5, seed=43)
-    side = lambda i: unlabelled.select(*(F.col(c).alias(c[:-1]) for c in unlabelled.columns if c.endswith(str(i))))
-    return learn, test, side(1), side(2)
+    return learn, test, relational.side_of(unlabelled, 1), relational.side_of(unlabelled, 2)

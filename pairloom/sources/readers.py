@@ -13,8 +13,9 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, columns:
     return (rows.select(columns) if columns else rows).na.drop("all")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, sep=sep, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", multiline: bool = True) -> DataFrame:
+    """multiline: quoted fields may hold line ends, for which a file is read by one task; files without any can be split."""
+    return spark.read.schema(schema).csv(path, header=True, sep=sep, multiLine=multiline, escape='"')
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

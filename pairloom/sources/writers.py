@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,8 @@ def append_records(df: DataFrame, path: str, batch: int | None = None) -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.na.fill("").write.mode("overwrite").csv(path, header=True, sep=sep)
+    """Quotes in a field are doubled, blanks at its ends are kept; nulls are empty."""
+    df.na.fill("").write.mode("overwrite").csv(path, header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def rows_per_file(df: DataFrame, most_bytes: int, sep: str = ";") -> int:
@@ -29,7 +33,7 @@ def rows_per_file(df: DataFrame, most_bytes: int, sep: str = ";") -> int:
 
 def export_csv(df: DataFrame, path: str, most_bytes: int = 100_000_000) -> None:
     """Semicolon-separated files of bounded size."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df, most_bytes)).csv(path, header=True, sep=";")
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df, most_bytes)).csv(path, header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_image_chunks(images: DataFrame, path: str, key: str = "name", per_chunk: int = 1000) -> None:
@@ -60,20 +64,28 @@ def put_remote(path: str, host: str) -> None:
     raise NotImplementedError(f"no transfer of {path} to {host} is configured")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read again: a short plan for what uses it often, and no lineage to compute anew.
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='pairloom-')}"
 
-    The folder is under spark.checkpoint.dir, which all executors share; where that is unset, a temporary one is set.
-    """
-    import tempfile
-    import uuid
 
-    conf = df.sparkSession.conf
-    top = conf.get("spark.checkpoint.dir", None)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session takes a temporary folder; on a cluster, whose executors would each write to their
+    own disk, this is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='pairloom-')}"
-        conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        top = _local_folder()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet and read again: a short plan for what uses it often, and no lineage to compute anew."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
