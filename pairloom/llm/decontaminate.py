@@ -29,10 +29,7 @@ from pairloom.llm.shingles import SHINGLE, shingle_hashes, word_hashes
 
 #: Items that a table of block values answers for, and such tables in one pass over the documents.
 TABLE_ITEMS, TABLES = 256, 16
-BLOCKS, BLOCK_BITS = 4, 16
-BITS = 4, 16
-HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.IntegerType())]))
-BITS = np.arange(64, dtype=np.uint64)
+BLOCKS, BLOCK_BITS = np.arange(64, dtype=np.uint64)
 #: Shingles of a text that are fingerprinted at once, about.
 STRETCH = 32_768
 
